@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Cut ``batch`` so that a slice holds few rows and, single rows aside, few bytes of text."""
     start, n = 0, batch.num_rows
     text = batch.column(column)
-    sizes = pa.compute.binary_length(text).to_pylist()
+    sizes = pc.binary_length(text).to_pylist()
     while start < n:
         end, held = start, 0
         while end < n and end - start < SLICE_ROWS and (end == start or held + (sizes[end] or 0) <= SLICE_BYTES):

@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, packing, quality, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": bpe.op3_bpe}
+    return {
+        "op3_bpe": bpe.op3_bpe,
+        "op4_packing": packing.op4_packing,
+        "op5_quality": quality.op5_quality,
+        "op6_url_filter": urlfilter.op6_url_filter,
+        "op9_token_counts": tokencount.op9_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": urlfilter.ORACLE}
