@@ -48,7 +48,7 @@ def time_bucket(ts: Column | str, period: str, fmt: str | None = None, tz: str |
         return F.when(ts.isNull(), F.lit(None)).when(start < 1, bad.cast("timestamp")).otherwise(back((first.cast("timestamp") + F.make_dt_interval(days=start - 1)).cast("timestamp")))
     if period == "P1W":
         # kept as it is defined: as many whole weeks back as days since Monday, then floored to weeks of the epoch
-        since_monday = (F.dayofweek(local) + 5) % 7
+        since_monday = ((F.dayofweek(local) + 5) % 7).cast("long")
         week = 7 * DAY
         return F.timestamp_millis(_div(millis(ts) - since_monday * week, week) * week)
     raise ValueError(f"unsupported period: {period}")

@@ -19,11 +19,14 @@ AGGREGATES = {
 UNITS = {"ns": 1e-6, "u": 1e-3, "µ": 1e-3, "ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
 _TOKEN = re.compile(
     r"""\s*(?:(?P<dur>[0-9]+(?:ns|ms|[uµsmhdw])(?![A-Za-z]))|(?P<num>-?[0-9]+(?:\.[0-9]+)?)|(?P<str>'(?:[^'\\]|\\.)*')|(?P<quoted>"(?:[^"\\]|\\.)*")
-      |(?P<regex>(?<=[~])\s*/(?:[^/\\]|\\.)*/)|(?P<id>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>=~|!~|!=|<>|<=|>=|[-+*/%=<>(),.;]))""",
+      |(?P<id>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>=~|!~|!=|<>|<=|>=|[-+*/%=<>(),.;]))""",
     re.VERBOSE,
 )
 
 
+_PATTERN = re.compile(r"\s*(?P<regex>/(?:[^/\\]|\\.)*/)")
+
+
 class InfluxError(ValueError):
     """A query outside of the supported language."""
 
@@ -57,7 +60,8 @@ class Parser:
         text = text.strip().rstrip(";")
         at = 0
         while at < len(text):
-            m = _TOKEN.match(text, at)
+            after_match = self.tokens and self.tokens[-1][1] in ("=~", "!~") or self.tokens and self.tokens[-1][1].upper() == "FROM"
+            m = after_match and _PATTERN.match(text, at) or _TOKEN.match(text, at)
             if m is None:
                 raise InfluxError(f"unexpected at {at}: {text[at : at + 10]!r}")
             self.tokens.append((m.lastgroup, m.group(m.lastgroup).strip()))
