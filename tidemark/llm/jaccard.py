@@ -6,14 +6,15 @@ needs.  Two similar sets differ in fewer tokens than there are segments, so they
 segment, and the hash of a segment's subset of tokens is a signature they share.  Small sets
 use fewer segments and also index the subsets with one token left out (the one-deletion
 neighbourhood), where that costs less; ``allocate`` weighs the two for each band.  A set has
-signatures for its own band and, if it can be similar to larger sets there, for the next one.
+signatures for its own band and, if it can be similar to larger sets there, for the next one,
+where it is a visitor: two visitors needn't meet, they do so in their own band.
 
 Sets that share a signature are candidates.  In groups of up to SMALL sets all pairs are;
-larger groups, and those within one batch of a worker, are tied to their smallest member and
+larger groups, and those within one batch of a worker, are tied to a few of their members and
 written down with all members.  Candidates pass bounds by size and by a parity bitmap (the
 bits in which two bitmaps differ can't outnumber the tokens in which the sets differ), then
-the texts themselves are compared.  After the links' components are known, a large group
-that still has several of them is gone through once more, in blocks, across components, with
+the texts themselves are compared.  After the links' components are known, the large groups that
+still have several of them are gone through once more, in blocks, across components, with
 the same bounds and the same exact check, so no link between components is lost.
 
 Rows: null texts and texts without a word have an empty set and link with nothing; fewer
@@ -42,16 +43,23 @@ PERCENT = 80
 CHANCE = 100.0
 #: Groups of up to so many sets give all their pairs at once.
 SMALL = 12
+#: Members that all others of a large group are held against at first.
+PIVOTS = 3
 #: Documents whose signatures a worker sorts together.
 FLUSH = 2048
 #: Documents to a bucket of signatures, roughly.
 BUCKET_DOCS = 500
-#: Members of a large group that are held against each other at once.
-BLOCK = 1024
+#: Members of torn groups that are held against each other at once.
+BLOCK = 512
+#: Members to a call, roughly; many small groups go in one.
+TASK_ROWS = 2000
+#: Pairs of bitmaps compared in one step.
+STEP = 20_000
 #: Ids up to so many are broadcast when texts are fetched; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
+_VISITOR = np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,7 +133,7 @@ def segments(band: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set."""
+    """Signatures of a set; the lowest bit is set where the set is a visitor."""
     u = upper(percent)
     own = int(np.searchsorted(u, len(h)))
     bands = [own, own + 1] if 100 * len(h) >= percent * (u[own] + 1) else [own]
@@ -141,10 +149,11 @@ def signatures(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         size = np.diff(at)
         s = total[at[1:]] - total[at[:-1]] + salt
         if deletions:
-            out += [mix(s), mix(np.repeat(s, size) - token)]
+            got = np.concatenate([mix(s), mix(np.repeat(s, size) - token)])
         else:
             filled = size > 0
-            out.append(mix(s if int((~filled).sum()) > spare else s[filled]))
+            got = mix(s if int((~filled).sum()) > spare else s[filled])
+        out.append(got & ~_VISITOR if band == own else got | _VISITOR)
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
@@ -213,15 +222,35 @@ def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(sig)))
 
 
-def _ties(sig: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """For large groups: pairs with the smallest member, and the members."""
-    a, b, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-    for s, k in zip(begin.tolist(), size.tolist(), strict=True):
-        m = np.unique(ids[s : s + k])
-        a.append(np.full(len(m), m[0]))
-        b.append(m)
-        members.append(m.astype("<i8").tobytes())
-    return np.concatenate(a), np.concatenate(b), members
+class Ties:
+    """Large groups: pairs of a few members with all, and the members, owners and visitors apart."""
+
+    def __init__(self) -> None:
+        self.a: list[np.ndarray] = [np.empty(0, np.int64)]
+        self.b: list[np.ndarray] = [np.empty(0, np.int64)]
+        self.sig: list[int] = []
+        self.members: list[bytes] = []
+
+    def add(self, sig: np.ndarray, ids: np.ndarray) -> int:
+        """A group, sorted by signature, so owners come first; gives the place of its first pivot."""
+        owners = int((sig & _VISITOR == 0).sum())
+        first = ids[:owners] if owners else ids
+        at = {int(np.argmin(first))} | {int(np.argmin(mix(first.astype(np.uint64) * _P + np.uint64(k)))) for k in range(1, PIVOTS)}
+        for k in at:
+            self.a.append(np.full(len(ids), first[k]))
+            self.b.append(ids)
+        for part, flag in ((ids[:owners], 0), (ids[owners:], 1)):
+            if len(part):
+                self.sig.append(int(sig[0] & ~_VISITOR) | flag)
+                self.members.append(np.unique(part).astype("<i8").tobytes())
+        return int(np.argmin(first))
+
+    def rows(self) -> pa.RecordBatch:
+        sig = np.array(self.sig, dtype=np.uint64)
+        return _rows({"sig": pa.array(sig.view(np.int64)), "ids": pa.array(self.members, pa.binary())}, len(sig))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return _distinct_pairs(np.concatenate(self.a), np.concatenate(self.b))
 
 
 def spread(docs: DataFrame, buckets_log2: int, n: int, percent: int) -> DataFrame:
@@ -232,19 +261,20 @@ def spread(docs: DataFrame, buckets_log2: int, n: int, percent: int) -> DataFram
         sig = np.concatenate(sets)
         order = np.argsort(sig, kind="stable")
         sig, who = sig[order], np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in sets])[order]
-        begin, size = _runs(sig)
+        begin, size = _runs(sig >> _VISITOR)
         hot = size > SMALL
         if hot.any():
-            a, b, members = _ties(sig, who, begin[hot], size[hot])
-            at = (sig[begin[hot]] >> shift).astype(np.int64)
-            yield _rows({"bucket": pa.array(at), "sig": pa.array(sig[begin[hot]].view(np.int64)), "ids": pa.array(members, pa.binary())}, len(at))
-            a, b = _distinct_pairs(a, b)
-            yield _pair_rows(a, b, (mix(a.astype(np.uint64) * _P + b.astype(np.uint64)) >> shift).astype(np.int64))
+            ties = Ties()
             keep = np.ones(len(sig), dtype=bool)
             for s, k in zip(begin[hot].tolist(), size[hot].tolist(), strict=True):
-                least = s + int(np.argmin(who[s : s + k]))
+                first = s + ties.add(sig[s : s + k], who[s : s + k])
                 keep[s : s + k] = False
-                keep[least] = True
+                keep[first] = True
+            rows = ties.rows()
+            bucket = (rows.column(3).to_numpy().view(np.uint64) >> shift).astype(np.int64)
+            yield rows.set_column(0, _FOUND.field(0), pa.array(bucket))
+            a, b = ties.pairs()
+            yield _pair_rows(a, b, (mix(a.astype(np.uint64) * _P + b.astype(np.uint64)) >> shift).astype(np.int64))
             sig, who = sig[keep], who[keep]
         bucket = (sig >> shift).astype(np.int64)
         begin, size = _runs(bucket)
@@ -288,20 +318,25 @@ def _gather(t: pa.Table) -> pa.Table:
     if raw:
         both = np.concatenate(raw, axis=1)
         order = np.argsort(both[0].view(np.uint64), kind="stable")
-        sig, who = both[0][order], both[1][order]
-        begin, size = _runs(sig)
+        sig, who = both[0][order].view(np.uint64), both[1][order]
+        begin, size = _runs(sig >> _VISITOR)
+        owned = sig[begin] & _VISITOR == 0  # without an owner there is nothing to find here
+        begin, size = begin[owned], size[owned]
         for k in range(2, SMALL + 1):
             at = begin[size == k]
             if len(at):
                 i, j = np.triu_indices(k, 1)
-                a.append(who[at[:, None] + i].ravel())
-                b.append(who[at[:, None] + j].ravel())
-        large = size > SMALL
-        if large.any():
-            x, y, members = _ties(sig, who, begin[large], size[large])
-            a.append(x)
-            b.append(y)
-            out.append(_rows({"sig": pa.array(sig[begin[large]]), "ids": pa.array(members, pa.binary())}, int(large.sum())))
+                x, y = at[:, None] + i, at[:, None] + j
+                owner = sig[x] & _VISITOR == 0
+                a.append(who[x[owner]])
+                b.append(who[y[owner]])
+        ties = Ties()
+        for s, k in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            ties.add(sig[s : s + k], who[s : s + k])
+        out.append(ties.rows())
+        x, y = ties.pairs()
+        a.append(x)
+        b.append(y)
     x, y = _distinct_pairs(np.concatenate(a), np.concatenate(b))
     out.append(_pair_rows(x, y))
     return pa.Table.from_batches(out, schema=_FOUND)
@@ -355,33 +390,50 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def across(members: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Candidates between the components of each large group, in blocks of its members."""
-    each = members.distinct().join(component, "id").join(sets.select("id", "n", "map"), "id")
-    torn = each.groupBy("sig").agg(F.min("component_id").alias("c0"), F.max("component_id").alias("c1"), F.count("*").alias("k")).where("c0 < c1")
-    torn = torn.select("sig", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks"))
-    rows = each.join(torn, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    """Candidates between the components of the large groups that have several, in blocks of their members.
+
+    ``members`` has (sig, id, owner).  Groups with the same smallest component are taken
+    together, so that a pair that shares many signatures is looked at once.
+    """
+    each = members.join(component, "id")
+    torn = each.groupBy("sig").agg(F.min("component_id").alias("c0"), F.max("component_id").alias("c1"), F.max("owner").alias("owned")).where("c0 < c1 and owned")
+    family = each.join(torn.select("sig", "c0"), "sig").select("c0", "id", "component_id").distinct()
+    blocks = family.groupBy("c0").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = family.join(blocks, "c0").join(sets.select("id", "n", "map"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component_id", "n", "map")
+    rows = rows.select("c0", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component_id", "n", "map")
+    tasks = max(64, -(-rows.count() // TASK_ROWS))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("c0", "i", "j"), F.lit(tasks)))
 
     def one(t: pa.Table) -> pa.Table:
-        own, ids, comp, size, maps = (t.column(c).to_pylist() for c in ("own", "id", "component_id", "n", "map"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        least = min(map(len, maps))
-        m = np.stack([folded(np.frombuffer(x, np.uint8), least) for x in maps])
-        size, comp, ids, own = np.array(size), np.array(comp), np.array(ids), np.array(own)
-        a, b = [], []
-        for k in range(len(ids)):
-            rest = np.arange(k + 1, len(ids))
-            rest = rest[(comp[rest] != comp[k]) & ((i == j) | (own[rest] != own[k]))]
-            rest = rest[np.minimum(size[rest], size[k]) * 100 >= percent * np.maximum(size[rest], size[k])]
-            if len(rest):
-                near = _ONES[m[rest] ^ m[k]].sum(1) <= (100 - percent) * (size[rest] + size[k]) // (100 + percent)
-                a += [ids[k]] * int(near.sum())
-                b += ids[rest[near]].tolist()
-        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("sig", "i", "j").applyInArrow(one, "a long, b long").distinct()
+        own, ids, comp, size, c0, i, j = (t.column(c).to_numpy() for c in ("own", "id", "component_id", "n", "c0", "i", "j"))
+        maps = t.column("map").to_pylist()
+        order = np.lexsort((j, i, c0))
+        edge = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (c0, i, j)], axis=0))) if len(order) else []
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(edge, [*edge[1:], len(order)], strict=True):
+            at = order[s:e]
+            x, y = np.triu_indices(len(at), 1)
+            x, y = at[x], at[y]
+            same = i[at[0]] == j[at[0]]
+            ok = (comp[x] != comp[y]) & (same | (own[x] != own[y])) & (np.minimum(size[x], size[y]) * 100 >= percent * np.maximum(size[x], size[y]))
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            least = min(len(maps[k]) for k in at)
+            local = {k: r for r, k in enumerate(at.tolist())}
+            m = np.stack([folded(np.frombuffer(maps[k], np.uint8), least) for k in at])
+            place = np.zeros(len(ids), dtype=np.int64)
+            place[at] = [local[k] for k in at.tolist()]
+            for k in range(0, len(x), STEP):
+                u, v = x[k : k + STEP], y[k : k + STEP]
+                near = _ONES[m[place[u]] ^ m[place[v]]].sum(1) <= (100 - percent) * (size[u] + size[v]) // (100 + percent)
+                a.append(ids[u[near]])
+                b.append(ids[v[near]])
+        x, y = _distinct_pairs(np.concatenate(a), np.concatenate(b))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return rows.groupBy("task").applyInArrow(one, "a long, b long").distinct()
 
 
 def components(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,7 +455,7 @@ def components(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str =
     links = common.materialize(linked(common.materialize(bounded(mapped, reps, percent)), known, n, percent))
 
     if not found.where("sig is not null").isEmpty():
-        members = _members(found).join(by_rep("m"), "m").select("sig", F.col("rm").alias("id")).distinct()
+        members = _members(found).join(by_rep("m"), "m").groupBy(F.shiftright("sig", 1).alias("sig"), F.col("rm").alias("id")).agg(F.max(F.col("sig").bitwiseAND(1) == 0).alias("owner"))
         first = common.connected_components(links, reps.select("id"))
         more = common.materialize(across(members, reps, first, percent))
         if not more.isEmpty():
