@@ -111,7 +111,7 @@ def learnable(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
-    """Hashed window counts of the sampled rows: (lang, draw, buckets, counts)."""
+    """Hashed window counts of the sampled rows: (lang, draw, buckets, counts), packed, some kilobytes a row."""
     rows = learnable(df, id_col, text_col, lang_col)
     sizes = rows.groupBy("lang").count()
     total = sizes.agg(F.count("*").alias("langs"))
@@ -128,11 +128,11 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
             hashed, begin = windows([texts[i] for i in at])
             for a, b in zip(begin, [*begin[1:], hashed.shape[1]], strict=True):
                 i, n = np.unique(hashed[:, a:b], return_counts=True)
-                buckets.append(i.astype(np.int32))
-                counts.append(n.astype(np.float32))
+                buckets.append(i.astype("<u2").tobytes())
+                counts.append(np.minimum(n, 65535).astype("<u2").tobytes())
         return {"lang": part.column(2).take(pa.array(at, pa.int64())), "draw": part.column(0).take(pa.array(at, pa.int64())), "buckets": buckets, "counts": counts}
 
-    return sorted(common.map_slices(drawn, fn, "lang string, draw long, buckets array<int>, counts array<float>").collect(), key=lambda r: (r.draw, r.lang, len(r.buckets)))
+    return sorted(common.map_slices(drawn, fn, "lang string, draw long, buckets binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, len(r.buckets)))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 7) -> Model:
@@ -144,15 +144,20 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     head, bias = rng.normal(0, 0.5, (DIM, len(langs))), np.zeros(len(langs))
     if not rows:
         return Model([], table.T, None, bias)
-    data = [(langs.index(r.lang), np.array(r.buckets, dtype=np.int64), np.array(r.counts) / sum(r.counts)) for r in rows]
-    order = rng.permutation(len(data))
-    held = order[: int(len(data) * CALIBRATION)] if len(data) >= 40 else order
-    learn = order[len(held) :] if len(data) >= 40 else order
+    at = {lang: k for k, lang in enumerate(langs)}
+
+    def example(k: int) -> tuple[int, np.ndarray, np.ndarray]:
+        n = np.frombuffer(rows[k].counts, dtype="<u2").astype(np.float64)
+        return at[rows[k].lang], np.frombuffer(rows[k].buckets, dtype="<u2").astype(np.int64), n / n.sum()
+
+    order = rng.permutation(len(rows))
+    held = order[: int(len(rows) * CALIBRATION)] if len(rows) >= 40 else order
+    learn = order[len(held) :] if len(rows) >= 40 else order
     steps = max(1, EPOCHS * len(learn))
     done = 0
     for _ in range(EPOCHS):
         for k in rng.permutation(learn):
-            y, i, w = data[k]
+            y, i, w = example(k)
             rate = RATE * (1 - done / steps)
             rows_i = table[i]
             mean = w @ rows_i
@@ -165,8 +170,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             bias -= 0.01 * rate * g
             table[i] = rows_i - rate * np.outer(w, back)
             done += 1
-    logits = np.array([data[k][2] @ table[data[k][1]] @ head + bias for k in held])
-    truth = np.array([data[k][0] for k in held])
+    tried = [(y, w @ table[i] @ head + bias) for y, i, w in map(example, held)]
+    truth, logits = np.array([y for y, _ in tried]), np.array([z for _, z in tried])
     grid = np.geomspace(0.2, 5.0, 40)
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
