@@ -221,16 +221,25 @@ def cleaned(text: str | None, gone: set[bytes]) -> tuple[str, int, int]:
     return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def lost_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     posted = common.materialize(postings(df, id_col, text_col))
     refs = common.materialize(references(posted))
-    return drops(posted, refs).withColumnRenamed("doc_id", "__doc")
+    return drops(posted, refs)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with its columns as they are, but for the lines that the text loses."""
-    gone = lost_lines(df, id_col, text_col)
-    joined = df.join(gone, df[id_col] == gone["__doc"], "left").drop("__doc")
+    key, lost = _fresh(df, "doc"), _fresh(df, "lost")
+    gone = lost_lines(df, id_col, text_col).select(F.col("doc_id").alias(key), F.col("gone").alias(lost))
+    joined = df.join(gone, df[id_col] == gone[key], "left").drop(key)
     at = df.columns.index(text_col)
 
     def run(batches):
@@ -250,8 +259,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those it loses, and a digest of what stays."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = lost_lines(docs)
-    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc")
+    gone = lost_lines(docs).withColumnRenamed("doc_id", "key")
+    joined = docs.join(gone, docs["doc_id"] == gone["key"], "left").drop("key")
 
     def fn(part: pa.RecordBatch) -> dict:
         rows = [cleaned(t, _gone(g)) for t, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
