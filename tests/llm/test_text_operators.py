@@ -1,0 +1,251 @@
+"""Operators that work on one text at a time, against the libraries or plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tidemark.llm import bpe, langid, packing, pii, quality, tokencount, urlfilter
+
+ODD = [
+    None, "", " ", "a", "a<|endoftext|>b  c", "<|startoftext|> x<|endoftext|>", "  \n\n x y", "a" * 500, "日本語テキスト👩‍👩‍👧", "\x00\x1f\x85  z", "don't we'LL I'm", "١٢٣ ²½ Ⅷ", "----====== ##### ", "é Å", " lead", "trail ",
+    "\x1c \x1d\x1e a᠎ b​ c﻿", "12345678901234567890" * 20, "word " * 3000,
+]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    letters = "abcdefghiklmnoprstuvwyz éèñßАбв0123456789 .,'\n-"
+    return ODD + ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(300)]
+
+
+def frame(spark, texts, **more):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def tokenizer(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path(name))
+
+
+def test_bpe_round_trip(spark, texts):
+    t = tokenizer("byte_bpe_50k.json")
+    got = {r.doc_id: r for r in bpe.digest_documents(frame(spark, texts), bpe.default_path()).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    row = bpe.encode_documents(frame(spark, ["ab cd"]), bpe.default_path()).first()
+    assert row.decoded == "ab cd" and list(row.ids) == t.encode("ab cd").ids
+
+
+def test_bpe_needs_its_fallback():
+    model = bpe.load(bpe.default_path())
+    rng = random.Random(9)
+    t = tokenizer("byte_bpe_50k.json")
+    names = [b.decode("utf-8", "ignore") for b in model.names]
+    for _ in range(500):
+        text = "".join(rng.choice(names) for _ in range(6))
+        assert np.frombuffer(model.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts(spark, texts):
+    t = tokenizer("word_bpe_49k.json")
+    for r in tokencount.count_tokens(frame(spark, texts), bpe.default_path("word_bpe_49k.json")).collect():
+        text = texts[r.doc_id] or ""
+        n = len(t.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 2048)
+
+
+def test_packing(spark, texts):
+    t = tokenizer("byte_bpe_50k.json")
+    df = frame(spark, texts).repartition(3, "doc_id")
+    rows = packing.pack_documents(df, bpe.default_path()).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, packing.pack_documents(df, bpe.default_path()).collect()))
+    docs, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        docs[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
+        at = 0
+        for r in sorted(docs[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids) // 4) and r.ids_crc32 == zlib.crc32(ids[4 * at : 4 * (at + r.length)])
+            at += r.length
+        assert at == len(ids) // 4
+    used = padding = 0
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+        used += at
+        padding += 1024 - at if at & (at - 1) else 0
+    assert padding <= 0.02 * used
+
+
+@pytest.mark.parametrize("n", [1, 5, 47, 48, 100, 511, 512, 513, 700, 1000, 1017, 1023, 1024, 1025, 5000])
+def test_cuts_add_up(n):
+    got = packing.cuts(n)
+    assert sum(x for x, _ in got) == n and all(x * k <= 1024 for x, k in got)
+
+
+def quality_by_hand(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    found = Counter(windows)
+    cover = {j for i, w in enumerate(windows) if found[w] > 1 for j in range(i, i + 3)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover)
+
+
+def test_quality_counts():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["a ", "b ", "é\t", "a b c ", "x\n", "x y\n", "#", "\x0b", " "]) for _ in range(rng.randrange(60)))
+        assert quality.counts(text)[:5] == quality_by_hand(text)
+    assert quality.counts(None)[:5] == (0, 0, 0, 0, 0)
+
+
+def test_quality_adapts_to_its_group(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for i in range(600):
+        long = i % 2  # one source has longer words than the other
+        rows.append((i, " ".join(word(rng.randrange(4, 8) + 6 * long) for _ in range(80)), "en", f"s{long}"))
+    rows += [(1000, " ".join(word(11) + "#%&*" for _ in range(80)), "en", "s0"), (1001, "too short", "en", "s0"), (1002, None, None, None), (1003, " ".join(["a b c"] * 40), "en", "s1"), (1000, rows[0][1], "en", "s0")]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    kept = defaultdict(set)
+    for r in got:
+        kept[r.doc_id].add((r.base_failed, r.kept))
+    assert len(got) == len(rows) and all(kept[i] == {(False, True)} for i in range(600))
+    assert kept[1000] == {(False, False), (False, True)} and kept[1001] == kept[1002] == kept[1003] == {(True, False)}
+
+
+def test_quality_of_an_empty_table(spark):
+    assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+URLS = [
+    (1, "https://a.example.net/en/1"), (2, "http://example.net/de/1"), (3, "http://x.org/fr/"), (4, "http://x.org/fr"), (5, "http://EXAMPLE.com/de/x?y#z"), (6, "http://notexample.com/de/"), (7, None), (8, "no scheme"), (9, "http://a.net"),
+    (10, "http://a.net?q=/"), (11, "http://u@b.NET:80/"), (12, "http://b.net/"), (13, "x://y://z.net/"), (14, "http:///path"), (1, "https://a.example.net/en/1"),
+]
+
+
+def by_rules(url):
+    _, mark, rest = (url or "").partition("://")
+    if not mark:
+        return "", "", None, "allow"
+    rest = re.match(r"[^?#]*", rest)[0]
+    host, slash, path = rest.partition("/")
+    host, path = "".join(c.lower() if c.isascii() else c for c in host), slash + path
+    fits = [(len(h), len(p), h + p, v) for h, p, v in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, max(fits)[2], max(fits)[3]) if fits else (host, path, None, "allow")
+
+
+def test_url_rules_by_trie_and_by_join(spark, monkeypatch):
+    pages = spark.createDataFrame([(*u, "html") for u in URLS], "page_id long, url string, host string")
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    want = sorted([(i, *by_rules(u)) for i, u in URLS], key=str)
+    assert sorted(map(tuple, urlfilter.filter_urls(pages, rules).collect()), key=str) == want
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 0)
+    assert sorted(map(tuple, urlfilter.filter_urls(pages, rules).collect()), key=str) == want
+
+
+def test_trie_prefers_longer_rules():
+    root = urlfilter.build([("com", "/", "block"), ("b.com", "/", "allow"), ("b.com", "/x", "block"), ("b.com", "/x/y/", "allow"), ("b.com", "", "block"), (None, "/", "block")])
+    assert urlfilter.longest(root, "a.b.com", "/x/y/z") == ("b.com/x/y/", "allow")
+    assert urlfilter.longest(root, "b.com", "/xyz") == ("b.com/x", "block")
+    assert urlfilter.longest(root, "c.com", "/") == ("com/", "block") and urlfilter.longest(root, "b.com", "") == ("b.com", "block") and urlfilter.longest(root, "c.com", "") is None
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(d[::-1])) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == 1 and any(int(q) > 255 for q in m.group().split(".")) or kind == 2 and not (12 <= len(d) <= 19 and luhn(d)) or kind == 3 and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_spans(spark):
+    rng = random.Random(3)
+    texts = [None, "", "a@b.c%x@y.z", "1.2.3.4.5.6.7.8", "1" * 30 + " 4111111111111111", "é😀 a@b.co 😀+1 (017) 555-7713", "@@a@.b@c.d.e..f", "256.1.1.1 01.002.0003.4", "x" * 20000 + "@a.b", "1." * 3000, "+ +1+2 3+456789012 34"]
+    texts += ["".join(rng.choice("0123456789 .-+()@abé😀") for _ in range(rng.randrange(80))) for _ in range(600)]
+    texts += ["".join(rng.choice(["4111111111111111", "1.2.3.4", " ", "-", "+", "12345", "a@b.c", ".", "@", "555-1234", "(", "é"]) for _ in range(20)) for _ in range(600)]
+    for r in pii.find_spans(frame(spark, texts)).collect():
+        base = [tuple(b) for b in r.base]
+        assert base == base_spans(texts[r.doc_id])
+        spans = [tuple(b) for b in r.spans]
+        assert set(base) <= set(spans) and spans == sorted(spans)
+        added = [x for x in spans if x not in base]
+        assert all(b[2] <= x[0] or x[2] <= b[0] for x in added for b in [*base, *[y for y in added if y != x]])
+
+
+def test_pii_proposals_and_redaction(spark):
+    texts = ["mail anna [at] example [dot] com now", "call (017) 555-7713 please", "host 2001:db8::ff00:42:8329 up", "the 2021-03-04 and 12:30:45 or 978-3-16-148410-0 x", "write a@b.org or +1 (017) 555-7713", None]
+    df = spark.createDataFrame([(i, t, "k", 7) for i, t in enumerate(texts)], "doc_id long, text string, spans string, base int")
+    got = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert [got[i].text for i in range(6)] == ["mail [EMAIL] now", "call [PHONE] please", "host [IP] up", texts[3], "write [EMAIL] or [PHONE]", None]
+    assert (got[0].spans, got[0].base) == ("k", 7)
+
+
+def test_pii_runs_without_python(spark):
+    plan = pii.find_spans(frame(spark, ["a@b.c"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+LANGS = {"aa": ["kala", "mana", "tuli", "pera", "vosi"], "bb": ["schön", "brück", "stück", "zwölf", "kraft"], "cc": ["thing", "would", "quick", "where", "shall"]}
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    make = lambda lang: " ".join(rng.choice(LANGS[lang]) + rng.choice(LANGS[lang])[:3] for _ in range(30))
+    rows = [(i, make(lang), lang, "x") for i, lang in enumerate(sorted(LANGS) * 80)] + [(900, None, "aa", "x"), (901, "12 34 !!", "bb", "x"), (902, "", None, None), (None, make("cc"), "cc", "x"), (1, make("bb"), None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = langid.train(df)
+    assert model.langs == sorted(LANGS)
+    got = langid.identify(df, model).collect()
+    truth = {i: lang for i, _, lang, _ in rows[:240]}
+    right = [r.lang_pred == truth[r.doc_id] for r in got if r.doc_id in truth and r.doc_id != 1]
+    assert len(got) == len(rows) and sum(right) / len(right) > 0.97 and all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == {"und"} and all(r.rejected for r in got if r.doc_id in (900, 901, 902))
+    kept = langid.accepted(df, model)
+    assert kept.columns == df.columns and kept.where("doc_id in (900, 901, 902)").count() == 0 and kept.count() >= 235
+
+
+def test_language_id_without_labels(spark):
+    df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.identify(df, langid.train(df)).collect()] == ["und"]
+
+
+@pytest.mark.parametrize("run", [lambda d: bpe.digest_documents(d, bpe.default_path()), lambda d: packing.pack_documents(d, bpe.default_path()), lambda d: tokencount.count_tokens(d, bpe.default_path("word_bpe_49k.json")), pii.find_spans])
+def test_empty_tables(spark, run):
+    assert run(frame(spark, []).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [lambda d: bpe.digest_documents(d, bpe.default_path()), lambda d: tokencount.count_tokens(d, bpe.default_path("word_bpe_49k.json")), pii.find_spans])
+def test_null_ids_and_repeated_rows(spark, run):
+    df = spark.createDataFrame([(None, "a b", 1, "x"), (5, "a b", 2, "y"), (5, "a b", 2, "y"), (5, None, 2, "y")], "doc_id long, text string, ids int, n_tokens string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in run(df).collect()) == [(False, 5)] * 3 + [(True, 0)]
