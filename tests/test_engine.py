@@ -73,6 +73,9 @@ def test_last_row_of_one_insert_wins(engine):
     engine.sql(f"CREATE TABLE w (t timestamp NOT NULL TIMESTAMP KEY, v int) {OFF}")
     engine.sql("INSERT INTO w (t, v) VALUES (1, 1), (1, 2), (1, 3)")
     assert rows(engine.sql("SELECT v FROM w")) == [(3,)]
+    engine.sql(f"CREATE TABLE x (t timestamp NOT NULL TIMESTAMP KEY, h string TAG, v int) {OFF}")
+    engine.sql("INSERT INTO x (t, h, v) VALUES " + ", ".join(f"({i % 2}, 'h{i % 3}', {i})" for i in range(60)))
+    assert sorted(rows(engine.sql("SELECT v FROM x"))) == [(i,) for i in range(54, 60)]
 
 
 def test_defaults_in_order(engine):
@@ -166,6 +169,7 @@ def test_segments_ttl_and_compaction(spark, engine):
     assert rows(engine.sql("SELECT v FROM s ORDER BY v")) == [(3,), (4,)]
     assert [n for n in storage.folder.list("data") if n.startswith("__seg")] == ["__seg=25", "__seg=29"]
     assert storage.files().count() == 3
+    assert sorted((r.rows, r.first) for r in storage.file_stats().collect()) == [(1, 25 * day), (1, 25 * day), (1, 29 * day)]
     storage.compact(now_ms=33 * day)
     assert storage.files().count() == 1 and rows(engine.sql("SELECT v FROM s")) == [(3,)]
 

@@ -347,6 +347,74 @@ def sessionized(spark, sf_dir):
     return df.withColumn("new", new).groupBy("user_id").agg(F.sum("new").cast("long").alias("sessions"))
 
 
+def described(statement: str) -> Callable:
+    """A statement about the events table, over a catalog in memory."""
+
+    def run(spark, sf_dir):
+        return events_engine(spark, sf_dir).sql(statement)
+
+    return run
+
+
+def inserted(spark, sf_dir):
+    """INSERT with defaults that refer to other columns, then a query."""
+    engine = Engine(spark, root="memory")
+    engine.sql("CREATE TABLE d (t timestamp NOT NULL TIMESTAMP KEY, host string TAG, c1 uint32, c2 string DEFAULT 'x', c3 uint32 DEFAULT c1 + 1, c4 uint32 DEFAULT c3 * 2) ENGINE=Memory")
+    engine.sql("INSERT INTO d (t, host, c1) VALUES (1, 'a', 10), (2, 'b', 20)")
+    engine.sql("INSERT INTO d (t, host, c1, c3) VALUES (3, 'a', 30, 5)")
+    engine.sql("ALTER TABLE d ADD COLUMN extra double")
+    return engine.sql("SELECT host, c1, c2, c3, c4, extra FROM d WHERE t BETWEEN 1 AND 3")
+
+
+def line_protocol(spark, sf_dir):
+    """Events written as line protocol and read back."""
+    from .sources.protocols import parse_lines
+
+    df = read(spark, sf_dir, "events")
+    lines = df.select(F.concat(F.lit("events,type="), "event_type", F.lit(" value="), F.col("value").cast("string"), F.lit(",user="), F.col("user_id").cast("string"), F.lit("i "), ms("ts").cast("string")).alias("value"))
+    got = parse_lines(lines)
+    return got.groupBy(F.col("tags")["type"].alias("event_type")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("fields")["value"].cast("double")), 2).alias("total"), F.max("ms").alias("last"))
+
+
+def remote_read(spark, sf_dir):
+    engine = events_engine(spark, sf_dir)
+    got = promql.remote_read(engine, "events", [("event_type", "!=", "view")], START, START + STEP)
+    return got.select(F.col("labels")["event_type"].alias("event_type"), F.size("samples").cast("long").alias("samples"))
+
+
+def segments(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy(F.floor(ms("ts") / 7_200_000).alias("segment")).agg(F.count("*").alias("n"))
+
+
+def tumbling_window(spark, sf_dir):
+    df = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return df.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_millis("w.start").alias("start"), "event_type", "n")
+
+
+def sampled_segment(spark, sf_dir):
+    from .sources.storage import sample_segment_ms
+
+    df = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return df.sparkSession.createDataFrame([(sample_segment_ms(df, "ts", ["event_type"]),)], "segment_ms long")
+
+
+def sampled_key(spark, sf_dir):
+    from .sources.storage import sample_primary_key
+
+    engine = events_engine(spark, sf_dir)
+    key = sample_primary_key(engine.scan("events"), engine.meta("events"))
+    return engine.spark.createDataFrame([(i, k) for i, k in enumerate(key)], "place int, name string")
+
+
+def unique_label_ids(spark, sf_dir):
+    from .functions.hashing import with_unique_id
+
+    df = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return with_unique_id(df, ["event_type"])
+
+
+_COLUMNS = "(values ('tsid', 'uint64', true, false, false, false), ('ts', 'timestamp', true, false, false, false), ('event_type', 'string', false, true, true, false), ('value', 'double', false, true, false, false), ('user_id', 'bigint', false, true, false, false)) v(name, type, is_primary, is_nullable, is_tag, is_dictionary)"
+
 FRAMES: dict[str, tuple[Callable, str | None]] = {
     **{k: (buckets(p), o) for k, (p, o) in BUCKETS.items()},
     "date_bin_15m": (date_bin_15m, "select (epoch_us(ts) // 1000) // 900000 * 900000 as bucket, count(*) as n, round(max(value), 4) as top from events group by 1"),
@@ -390,6 +458,19 @@ FRAMES: dict[str, tuple[Callable, str | None]] = {
         f"select (epoch_us(ts) // 1000) as time, round(value, 6) as value, event_type from events where event_type in ('click', 'view') and (epoch_us(ts) // 1000) < {START} and value > 40",
     ),
     "influx_group_by_tag": (influx("select count(value), max(value), min(value) from events group by event_type"), "select 0::bigint as time, event_type, count(value) as count, round(max(value), 6) as max, round(min(value), 6) as min from events group by event_type"),
+    "u5_describe": (described("DESCRIBE TABLE events"), f"select * from {_COLUMNS}"),
+    "u6_show_tables": (described("SHOW TABLES LIKE 'ev%'"), "select 'events' as Tables"),
+    "u9_exists": (described("EXISTS TABLE events"), "select 1::int as result"),
+    "u8_show_create": (described("SHOW CREATE TABLE events"), None),
+    "u10_explain": (described("EXPLAIN SELECT count(*) FROM events WHERE ts > 1704412800000"), None),
+    "k1_insert_defaults": (inserted, "select * from (values ('a', 10::bigint, 'x', 11::bigint, 22::bigint, null::double), ('b', 20, 'x', 21, 42, null), ('a', 30, 'x', 5, 10, null)) v(host, c1, c2, c3, c4, extra)"),
+    "k5_line_protocol": (line_protocol, "select event_type, count(*) as n, round(sum(value), 2) as total, max(epoch_us(ts) // 1000) as last from events group by 1"),
+    "p13_remote_read": (remote_read, f"select event_type, count(*) as samples from events where event_type <> 'view' and epoch_us(ts) // 1000 between {START} and {START + STEP} group by 1"),
+    "p12_unique_id": (unique_label_ids, None),
+    "k10_segments": (segments, "select epoch_us(ts) // 1000 // 7200000 as segment, count(*) as n from events group by 1"),
+    "r5_tumbling_window": (tumbling_window, "select epoch_us(ts) // 1000 // 21600000 * 21600000 as start, event_type, count(*) as n from events group by 1, 2"),
+    "d8_segment_sampler": (sampled_segment, None),
+    "d9_key_sampler": (sampled_key, None),
     "default_fill": (default_fill, "select event_id, user_id, user_id + 1 as c3, user_id + 2 as c4, user_id + 11 as c5 from events"),
     "point_get": (point_get, "select o_orderkey, o_custkey, round(o_totalprice, 2) as total from orders where o_orderkey = 7"),
     "o1_order_nulls": (ordered_nulls, "select event_type, count(*) as n from events group by 1 order by n desc, event_type limit 3"),

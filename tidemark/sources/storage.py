@@ -102,10 +102,10 @@ class Storage:
 
     # ---- writing -------------------------------------------------------------------------
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        """Rows with all columns of the table, defaults and series id filled in, in the table's order and types."""
+    def prepare(self, df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+        """Rows with all columns of the table, defaults and series id filled in, in the table's order and types, then ``extra``."""
         meta = self.meta
-        given = set(df.columns)
+        given = set(df.columns) - set(extra)
         if unknown := given - {c.name for c in meta.columns}:
             raise SchemaError(f"unknown columns: {sorted(unknown)}")
         if TSID in given:
@@ -119,19 +119,19 @@ class Storage:
                 raise SchemaError(f"a value is needed for {c.name}")
             else:
                 df = df.withColumn(c.name, F.lit(None).cast(c.spark))
-        df = df.select(*[(_to_timestamp(df[f"`{c.name}`"], df.schema[c.name].dataType) if c.kind == "timestamp" else F.col(f"`{c.name}`").cast(c.spark)).alias(c.name) for c in meta.columns if c.name != TSID])
+        df = df.select(*[(_to_timestamp(df[f"`{c.name}`"], df.schema[c.name].dataType) if c.kind == "timestamp" else F.col(f"`{c.name}`").cast(c.spark)).alias(c.name) for c in meta.columns if c.name != TSID], *extra)
         if meta.has(TSID):
             df = hashing.with_series_id(df, [(c.id, c.kind, c.name) for c in meta.tags])
-        return df.select(*[F.col(f"`{c.name}`") for c in meta.columns])
+        return df.select(*[F.col(f"`{c.name}`") for c in meta.columns], *extra)
 
     def append(self, df: DataFrame, batch: int | None = None, now_ms: int | None = None) -> None:
         """Write rows: expired ones are dropped, the rest goes to segments and partitions, sorted by key."""
         meta = self.meta
-        rows = self.prepare(df)
+        rows = self.prepare(df.withColumn(ROW, F.monotonically_increasing_id()), (ROW,))  # numbered before any shuffle
         ms = F.unix_millis(F.col(f"`{meta.timestamp_key}`"))
         if meta.ttl_ms is not None:
             rows = rows.where(ms >= (now_ms if now_ms is not None else int(time.time() * 1000)) - meta.ttl_ms)
-        rows = rows.withColumn(BATCH, F.lit(batch if batch is not None else time.time_ns())).withColumn(ROW, F.monotonically_increasing_id())
+        rows = rows.withColumn(BATCH, F.lit(batch if batch is not None else time.time_ns()))
         rows = rows.withColumn(SEGMENT, F.floor(ms / meta.segment_ms))
         rows = self._partitioned(rows)
         by = [SEGMENT, *([PART] if meta.partitioning else [])]
@@ -229,6 +229,12 @@ class Storage:
         self.folder.rename("data.new", "data")
         self.folder.delete("data.old")
 
+    def file_stats(self) -> DataFrame:
+        """(file, bytes, rows, first, last): what each data file holds, times in milliseconds."""
+        ms = F.unix_millis(F.col(f"`{self.meta.timestamp_key}`"))
+        df = self.files().select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), ms.alias("ms"))
+        return df.groupBy("file", "bytes").agg(F.count("*").alias("rows"), F.min("ms").alias("first"), F.max("ms").alias("last"))
+
     def expire(self, now_ms: int | None = None) -> list[str]:
         """Delete segments whose end lies before the time to live."""
         if self.meta.ttl_ms is None:
