@@ -100,7 +100,7 @@ def test_signatures_of_similar_sets_meet():
                 continue
             sa, sb = jaccard.signatures(a), jaccard.signatures(b)
             assert len(np.intersect1d(sa >> np.uint64(1), sb >> np.uint64(1)))
-            assert jaccard.may_link(len(a), len(b), jaccard.bitmap(a), jaccard.bitmap(b))
+            assert all(jaccard.may_link(len(a), len(b), jaccard.bitmap(a, k), jaccard.bitmap(b, k)) for k in (1, jaccard.FINE))
 
 
 def dedup_by_hand(rows):

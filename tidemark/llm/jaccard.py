@@ -44,13 +44,15 @@ CHANCE = 100.0
 #: Groups of up to so many sets give all their pairs at once.
 SMALL = 12
 #: Members that all others of a large group are held against at first.
-PIVOTS = 3
+PIVOTS = 2
 #: Documents whose signatures a worker sorts together.
 FLUSH = 2048
 #: Documents to a bucket of signatures, roughly.
-BUCKET_DOCS = 500
+BUCKET_DOCS = 2000
 #: Members of torn groups that are held against each other at once.
 BLOCK = 512
+#: Bits for a token in the finer bitmap.
+FINE = 4
 #: Members to a call, roughly; many small groups go in one.
 TASK_ROWS = 2000
 #: Pairs of bitmaps compared in one step.
@@ -157,9 +159,9 @@ def signatures(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """Parity of the number of tokens for each value of the lowest bits; about two bits a token."""
-    k = max(6, (2 * len(h) - 1).bit_length())
+def bitmap(h: np.ndarray, bits: int = 1) -> bytes:
+    """Parity of the number of tokens for each value of the lowest bits; ``bits`` or more for a token."""
+    k = max(6, (bits * len(h) - 1).bit_length())
     odd = np.bincount((h & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -182,14 +184,14 @@ def may_link(na: int, nb: int, a: bytes, b: bytes, percent: int = PERCENT) -> bo
 
 
 def measure(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, k1, k2, map): size, a 128-bit key of the set, and the bitmap, of every row."""
+    """(id, n, k1, k2, map, fine): size, a 128-bit key of the set, a bitmap and a finer one, of every row."""
 
     def fn(part: pa.RecordBatch) -> dict:
         sets = [shingles(t, n) for t in part.column(1).to_pylist()]
         keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets), dtype="<i8").reshape(-1, 2)
-        return {"id": part.column(0), "n": [len(h) for h in sets], "k1": keys[:, 0].copy(), "k2": keys[:, 1].copy(), "map": [bitmap(h) if len(h) else b"" for h in sets]}
+        return {"id": part.column(0), "n": [len(h) for h in sets], "k1": keys[:, 0].copy(), "k2": keys[:, 1].copy(), "map": [bitmap(h) if len(h) else b"" for h in sets], "fine": [bitmap(h, FINE) if len(h) else b"" for h in sets]}
 
-    return common.map_slices(docs, fn, "id long, n long, k1 long, k2 long, map binary")
+    return common.map_slices(docs, fn, "id long, n long, k1 long, k2 long, map binary, fine binary")
 
 
 _FOUND = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("ids", pa.binary())])
@@ -389,47 +391,73 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def across(members: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def across(members: DataFrame, sets: DataFrame, component: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Candidates between the components of the large groups that have several, in blocks of their members.
 
     ``members`` has (sig, id, owner).  Groups with the same smallest component are taken
-    together, so that a pair that shares many signatures is looked at once.
+    together, so that a pair that shares many signatures is looked at once.  Members of that
+    component are held against the others only.  With ``nearest``, each member gives its
+    nearest candidate in each other component of a block; else all candidates are given.
     """
     each = members.join(component, "id")
     torn = each.groupBy("sig").agg(F.min("component_id").alias("c0"), F.max("component_id").alias("c1"), F.max("owner").alias("owned")).where("c0 < c1 and owned")
-    family = each.join(torn.select("sig", "c0"), "sig").select("c0", "id", "component_id").distinct()
-    blocks = family.groupBy("c0").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = family.join(blocks, "c0").join(sets.select("id", "n", "map"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("c0", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component_id", "n", "map")
+    family = each.join(torn.select("sig", "c0"), "sig").select("c0", "id", "component_id").distinct().withColumn("main", F.col("component_id") == F.col("c0"))
+    some = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).cast("long")
+    blocks = family.groupBy("c0").agg(some(~F.col("main")).alias("others"), some(F.col("main")).alias("mains"))
+    rows = family.join(blocks, "c0").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    place = lambda mixed, i, j: F.struct(F.lit(mixed).alias("mixed"), i.alias("i"), j.alias("j"))
+    own = F.col("own")
+    places = F.when(F.col("main"), F.transform(upto("others"), lambda k: place(True, k, own))).otherwise(
+        F.concat(F.transform(upto("others"), lambda k: place(False, F.least(own, k), F.greatest(own, k))), F.transform(upto("mains"), lambda k: place(True, own, k)))
+    )
+    rows = rows.select("c0", "id", "component_id", "main", "own", F.inline(places))
+    rows = common.materialize(rows.join(sets.select("id", "n", F.col("fine").alias("map")), "id"))
     tasks = max(64, -(-rows.count() // TASK_ROWS))
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("c0", "i", "j"), F.lit(tasks)))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("c0", "mixed", "i", "j"), F.lit(tasks)))
 
     def one(t: pa.Table) -> pa.Table:
         own, ids, comp, size, c0, i, j = (t.column(c).to_numpy() for c in ("own", "id", "component_id", "n", "c0", "i", "j"))
+        main, mixed = (np.array(t.column(c).to_pylist(), dtype=bool) for c in ("main", "mixed"))
         maps = t.column("map").to_pylist()
-        order = np.lexsort((j, i, c0))
-        edge = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (c0, i, j)], axis=0))) if len(order) else []
+        order = np.lexsort((j, i, mixed, c0))
+        edge = np.flatnonzero(np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (c0, mixed, i, j)], axis=0))) if len(order) else []
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        place = np.zeros(len(ids), dtype=np.int64)
         for s, e in zip(edge, [*edge[1:], len(order)], strict=True):
             at = order[s:e]
-            x, y = np.triu_indices(len(at), 1)
-            x, y = at[x], at[y]
-            same = i[at[0]] == j[at[0]]
-            ok = (comp[x] != comp[y]) & (same | (own[x] != own[y])) & (np.minimum(size[x], size[y]) * 100 >= percent * np.maximum(size[x], size[y]))
+            if mixed[at[0]]:
+                x, y = (g.ravel() for g in np.meshgrid(at[main[at]], at[~main[at]], indexing="ij"))
+                ok = np.ones(len(x), dtype=bool)
+            else:
+                x, y = np.triu_indices(len(at), 1)
+                x, y = at[x], at[y]
+                ok = (comp[x] != comp[y]) & ((i[at[0]] == j[at[0]]) | (own[x] != own[y]))
+            ok &= np.minimum(size[x], size[y]) * 100 >= percent * np.maximum(size[x], size[y])
             x, y = x[ok], y[ok]
             if not len(x):
                 continue
             least = min(len(maps[k]) for k in at)
-            local = {k: r for r, k in enumerate(at.tolist())}
             m = np.stack([folded(np.frombuffer(maps[k], np.uint8), least) for k in at])
-            place = np.zeros(len(ids), dtype=np.int64)
-            place[at] = [local[k] for k in at.tolist()]
+            place[at] = np.arange(len(at))
+            found = []
             for k in range(0, len(x), STEP):
                 u, v = x[k : k + STEP], y[k : k + STEP]
-                near = _ONES[m[place[u]] ^ m[place[v]]].sum(1) <= (100 - percent) * (size[u] + size[v]) // (100 + percent)
-                a.append(ids[u[near]])
-                b.append(ids[v[near]])
+                apart = _ONES[m[place[u]] ^ m[place[v]]].sum(1)
+                near = apart <= (100 - percent) * (size[u] + size[v]) // (100 + percent)
+                found.append((u[near], v[near], apart[near]))
+            u, v, apart = (np.concatenate(z) for z in zip(*found, strict=True))
+            if nearest and len(u):
+                first = np.lexsort((v, apart, comp[v], u))
+                u1 = first[np.append(True, (u[first][1:] != u[first][:-1]) | (comp[v[first]][1:] != comp[v[first]][:-1]))]
+                second = np.lexsort((u, apart, comp[u], v))
+                u2 = second[np.append(True, (v[second][1:] != v[second][:-1]) | (comp[u[second]][1:] != comp[u[second]][:-1]))]
+                if mixed[at[0]]:  # the others are the ones to be tied to the main component
+                    u1 = np.empty(0, dtype=np.int64)
+                pick = np.unique(np.concatenate([u1, u2]))
+                u, v = u[pick], v[pick]
+            a.append(ids[u])
+            b.append(ids[v])
         x, y = _distinct_pairs(np.concatenate(a), np.concatenate(b))
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
@@ -443,11 +471,13 @@ def components(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str =
     known = docs.where("id is not null")
     classes = sets.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     owner = common.materialize(sets.where("n > 0 and id is not null").select("id", "n", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep").distinct())
-    reps = sets.where("n > 0").select("id", "n", "map").join(owner.where("id = rep").select("id").distinct(), "id").distinct()
+    reps = sets.where("n > 0").select("id", "n", "map", "fine").join(owner.where("id = rep").select("id"), "id", "left_semi")
 
     rows = max(1, sets.count())
     buckets_log2 = max(6, min(40, (rows // BUCKET_DOCS).bit_length()))
     found = common.materialize(spread(known, buckets_log2, n, percent).groupBy("bucket").applyInArrow(_gather, _FOUND_SQL).select("a", "b", "sig", "ids"))
+    spark = df.sparkSession
+    common.release(spark)  # the signatures' shuffle is the largest
     raw = found.where("a is not null").select("a", "b").distinct()
     by_rep = lambda side: owner.select(F.col("id").alias(side), F.col("rep").alias(f"r{side}"))
     mapped = raw.join(by_rep("a"), "a").join(by_rep("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()
@@ -456,10 +486,14 @@ def components(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str =
 
     if not found.where("sig is not null").isEmpty():
         members = _members(found).join(by_rep("m"), "m").groupBy(F.shiftright("sig", 1).alias("sig"), F.col("rm").alias("id")).agg(F.max(F.col("sig").bitwiseAND(1) == 0).alias("owner"))
-        first = common.connected_components(links, reps.select("id"))
-        more = common.materialize(across(members, reps, first, percent))
-        if not more.isEmpty():
+        members = common.materialize(members)
+        for nearest in (True, False):  # the nearest candidates join most components, which leaves little to go through in full
+            common.release(spark)
+            more = common.materialize(across(members, reps, common.connected_components(links, owner.select(F.col("rep").alias("id")).distinct()), percent, nearest))
+            if more.isEmpty():
+                break
             links = links.unionByName(common.materialize(linked(more, known, n, percent)))
+    common.release(spark)
     found_ = common.connected_components(links.unionByName(copies))
     return sets.select("id", F.col("n").alias("n_shingles")).join(found_, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
 
