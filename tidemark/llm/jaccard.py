@@ -394,31 +394,36 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 def across(members: DataFrame, sets: DataFrame, component: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Candidates between the components of the large groups that have several, in blocks of their members.
 
-    ``members`` has (sig, id, owner).  Groups with the same smallest component are taken
-    together, so that a pair that shares many signatures is looked at once.  Members of that
-    component are held against the others only.  With ``nearest``, each member gives its
+    ``members`` has (sig, id, owner).  Groups that mostly belong to one component are taken
+    together, so that a pair that shares many signatures is looked at once, and members of
+    that component are held against the others only.  With ``nearest``, each member gives its
     nearest candidate in each other component of a block; else all candidates are given.
     """
     each = members.join(component, "id")
-    torn = each.groupBy("sig").agg(F.min("component_id").alias("c0"), F.max("component_id").alias("c1"), F.max("owner").alias("owned")).where("c0 < c1 and owned")
-    family = each.join(torn.select("sig", "c0"), "sig").select("c0", "id", "component_id").distinct().withColumn("main", F.col("component_id") == F.col("c0"))
+    parts = each.groupBy("sig", "component_id").agg(F.count("*").alias("k"), F.max("owner").alias("owned"))
+    torn = parts.groupBy("sig").agg(
+        F.max_by("component_id", F.struct("k", "component_id")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("all"), F.count("*").alias("parts"), F.max("owned").alias("owned")
+    ).where("parts > 1 and owned")
+    torn = torn.select("sig", (F.col("most") * 2 > F.col("all")).alias("mainly"), F.when(F.col("most") * 2 > F.col("all"), F.col("top")).otherwise(F.col("sig")).alias("c0"))
+    family = each.join(torn, "sig").select("c0", "mainly", "id", "component_id").distinct().withColumn("main", F.col("mainly") & (F.col("component_id") == F.col("c0")))
     some = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).cast("long")
-    blocks = family.groupBy("c0").agg(some(~F.col("main")).alias("others"), some(F.col("main")).alias("mains"))
-    rows = family.join(blocks, "c0").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    blocks = family.groupBy("c0", "mainly").agg(some(~F.col("main")).alias("others"), some(F.col("main")).alias("mains"))
+    rows = family.join(blocks, ["c0", "mainly"]).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    place = lambda mixed, i, j: F.struct(F.lit(mixed).alias("mixed"), i.alias("i"), j.alias("j"))
-    own = F.col("own")
-    places = F.when(F.col("main"), F.transform(upto("others"), lambda k: place(True, k, own))).otherwise(
-        F.concat(F.transform(upto("others"), lambda k: place(False, F.least(own, k), F.greatest(own, k))), F.transform(upto("mains"), lambda k: place(True, own, k)))
-    )
-    rows = rows.select("c0", "id", "component_id", "main", "own", F.inline(places))
-    rows = common.materialize(rows.join(sets.select("id", "n", F.col("fine").alias("map")), "id"))
-    tasks = max(64, -(-rows.count() // TASK_ROWS))
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("c0", "mixed", "i", "j"), F.lit(tasks)))
+    place = lambda mixed, i, j: F.struct(mixed.alias("mixed"), i.alias("i"), j.alias("j"))
+    own, no, yes = F.col("own"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    among = F.transform(upto("others"), lambda k: place(no, F.least(own, k), F.greatest(own, k)))
+    places = F.when(F.col("main"), F.transform(upto("others"), lambda k: place(yes, k, own))).when(
+        F.col("mainly"), F.concat(among, F.transform(upto("mains"), lambda k: place(yes, own, k)))
+    ).otherwise(among)
+    rows = rows.select("c0", "id", "component_id", "main", "mainly", "own", F.inline(places))
+    tasks = max(64, -(-members.count() // TASK_ROWS))
+    rows = rows.join(sets.select("id", "n", F.col("fine").alias("map")), "id")
+    rows = rows.withColumn("mixed", F.col("mixed") + F.when(F.col("mainly"), 0).otherwise(2)).withColumn("task", F.pmod(F.xxhash64("c0", "mixed", "i", "j"), F.lit(tasks)))
 
     def one(t: pa.Table) -> pa.Table:
         own, ids, comp, size, c0, i, j = (t.column(c).to_numpy() for c in ("own", "id", "component_id", "n", "c0", "i", "j"))
-        main, mixed = (np.array(t.column(c).to_pylist(), dtype=bool) for c in ("main", "mixed"))
+        main, mixed = np.array(t.column("main").to_pylist(), dtype=bool), t.column("mixed").to_numpy()
         maps = t.column("map").to_pylist()
         order = np.lexsort((j, i, mixed, c0))
         edge = np.flatnonzero(np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (c0, mixed, i, j)], axis=0))) if len(order) else []
@@ -426,7 +431,7 @@ def across(members: DataFrame, sets: DataFrame, component: DataFrame, percent: i
         place = np.zeros(len(ids), dtype=np.int64)
         for s, e in zip(edge, [*edge[1:], len(order)], strict=True):
             at = order[s:e]
-            if mixed[at[0]]:
+            if mixed[at[0]] == 1:
                 x, y = (g.ravel() for g in np.meshgrid(at[main[at]], at[~main[at]], indexing="ij"))
                 ok = np.ones(len(x), dtype=bool)
             else:
@@ -452,7 +457,7 @@ def across(members: DataFrame, sets: DataFrame, component: DataFrame, percent: i
                 u1 = first[np.append(True, (u[first][1:] != u[first][:-1]) | (comp[v[first]][1:] != comp[v[first]][:-1]))]
                 second = np.lexsort((u, apart, comp[u], v))
                 u2 = second[np.append(True, (v[second][1:] != v[second][:-1]) | (comp[u[second]][1:] != comp[u[second]][:-1]))]
-                if mixed[at[0]]:  # the others are the ones to be tied to the main component
+                if mixed[at[0]] == 1:  # the others are the ones to be tied to the main component
                     u1 = np.empty(0, dtype=np.int64)
                 pick = np.unique(np.concatenate([u1, u2]))
                 u, v = u[pick], v[pick]
