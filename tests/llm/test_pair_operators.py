@@ -71,6 +71,34 @@ def test_jaccard_components(spark, monkeypatch, corpus, small, block):
     assert [got[i].n_shingles for i in range(len(corpus))] == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("grown", [False, True])
+def test_jaccard_between_batches(spark, grown):
+    """60 sets tied in one batch, 3 sets in another that are similar to one of them that isn't sent on; ``grown``: as owners, the 60 being visitors."""
+    size = next(u for u in jaccard.upper(80) if u > 250)
+    base = [f"b{i}" for i in range(size + 4)]
+    apart = [p for p in range(4, size - 4) if not 14 < p % 50 < 40]
+    texts = []
+    for i in range(60):
+        words = base[:]
+        if i != 40:
+            words[apart[i]], words[apart[i + 70]] = f"x{i}", f"y{i}"
+        texts.append(" ".join(words))
+    for i in range(3):
+        words = base[:]
+        for k in range(5 + grown):
+            at = 20 + 7 * i + 50 * k
+            words[at : at + (not grown)] = [f"z{i}_{k}"]
+        texts.append(" ".join(words))
+    sets = [grams(t) for t in texts]
+    assert {len(x) for x in sets[:60]} == {size} and all((len(x) > size) == grown for x in sets[60:])
+    links = [(i, j) for i in range(63) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert all([j for k, j in links if k == i] == [40] for i in range(60, 63))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(spark.sparkContext.parallelize([rows[:60], rows[60:]], 2).flatMap(lambda x: x), "doc_id long, text string")
+    got = {r.id: r.component_id for r in jaccard.components(df).collect()}
+    assert [got[i] for i in range(63)] == union_find(63, links) == [0] * 63
+
+
 def test_jaccard_keeps_one(spark, corpus):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "doc_id long, text string")
     kept = jaccard.keep_one(df)

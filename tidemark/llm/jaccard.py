@@ -11,7 +11,7 @@ where it is a visitor: two visitors needn't meet, they do so in their own band.
 
 Sets that share a signature are candidates.  In groups of up to SMALL sets all pairs are;
 larger groups, and those within one batch of a worker, are tied to a few of their members and
-written down with all members.  Candidates pass bounds by size and by a parity bitmap (the
+written down with all members, those of other batches too.  Candidates pass bounds by size and by a parity bitmap (the
 bits in which two bitmaps differ can't outnumber the tokens in which the sets differ), then
 the texts themselves are compared.  After the links' components are known, the large groups that
 still have several of them are gone through once more, in blocks, across components, with
@@ -241,12 +241,16 @@ class Ties:
         for k in at:
             self.a.append(np.full(len(ids), first[k]))
             self.b.append(ids)
-        for part, flag in ((ids[:owners], 0), (ids[owners:], 1)):
-            if len(part):
-                self.sig.append(int(sig[0] & ~_VISITOR) | flag)
-                self.members.append(np.unique(part).astype("<i8").tobytes())
+        self.write(sig[:owners], ids[:owners])
+        self.write(sig[owners:], ids[owners:])
         return int(np.argmin(first))
 
+    def write(self, sig: np.ndarray, ids: np.ndarray) -> None:
+        """Members of one group, owners or visitors."""
+        if len(ids):
+            self.sig.append(int(sig[0]))
+            self.members.append(np.unique(ids).astype("<i8").tobytes())
+
     def rows(self) -> pa.RecordBatch:
         sig = np.array(self.sig, dtype=np.uint64)
         return _rows({"sig": pa.array(sig.view(np.int64)), "ids": pa.array(self.members, pa.binary())}, len(sig))
@@ -315,7 +319,8 @@ def _gather(t: pa.Table) -> pa.Table:
     """Candidates of one bucket: pairs (a, b), and the members (sig, ids) of large groups."""
     given = t.filter(pc.is_valid(t.column("a")))
     a, b = [given.column("a").to_numpy()], [given.column("b").to_numpy()]
-    out = [_rows({"sig": x.column("sig").combine_chunks(), "ids": x.column("ids").combine_chunks()}, x.num_rows) for x in [t.filter(pc.is_valid(t.column("sig")))] if x.num_rows]
+    tied = t.filter(pc.is_valid(t.column("sig")))
+    out = [_rows({"sig": tied.column("sig").combine_chunks(), "ids": tied.column("ids").combine_chunks()}, tied.num_rows)] if tied.num_rows else []
     raw = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in t.filter(pc.and_(pc.is_null(t.column("a")), pc.is_null(t.column("sig")))).column("ids").to_pylist()]
     if raw:
         both = np.concatenate(raw, axis=1)
@@ -335,6 +340,17 @@ def _gather(t: pa.Table) -> pa.Table:
         ties = Ties()
         for s, k in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             ties.add(sig[s : s + k], who[s : s + k])
+        # a batch has tied some of these groups and sent one set of it; the sets of other batches have to meet the rest
+        held: dict[int, list[bytes]] = {}
+        for s, ids in zip(tied.column("sig").to_numpy().view(np.uint64).tolist(), tied.column("ids").to_pylist(), strict=True):
+            held.setdefault(s, []).append(ids)
+        torn = (size > 1) & (size <= SMALL) & np.isin(sig[begin] >> _VISITOR, np.array(list(held), dtype=np.uint64) >> _VISITOR)
+        for s, k in zip(begin[torn].tolist(), size[torn].tolist(), strict=True):
+            owners = s + int((sig[s : s + k] & _VISITOR == 0).sum())
+            for u, v in ((s, owners), (owners, s + k)):
+                if u < v:
+                    new = ~np.isin(who[u:v], np.frombuffer(b"".join(held.get(int(sig[u]), [])), dtype="<i8"))
+                    ties.write(sig[u:v][new], who[u:v][new])
         out.append(ties.rows())
         x, y = ties.pairs()
         a.append(x)
