@@ -231,6 +231,19 @@ def test_embedding_dedup(spark):
     assert embeddup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embeddup, "MAX_LENGTHS", 3)
+    rng = np.random.default_rng(9)
+    rows, want = [], []
+    for d in range(20, 28):
+        x = rng.normal(size=d)
+        rows += [list(x), list(x + rng.normal(size=d) * 0.05), list(3 * x), list(rng.normal(size=d))]
+        want += [(2, len(want))] * 3 + [(0, len(want) + 3)]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddup.near_duplicates(df).collect()}
+    assert [found[i] for i in range(len(rows))] == want
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)] + [(7, 7), (None, 3)]

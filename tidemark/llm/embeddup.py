@@ -11,6 +11,9 @@ each differing with probability angle / pi).  A pair is taken in the first table
 it; pairs whose whole codes are too far apart go; the rest is reranked by the cosine of the
 original vectors in double precision.  Components are found over the links.
 
+The most frequent lengths of vectors have learned rotations (MAX_LENGTHS); vectors of any other
+length are projected on random directions seeded by the length, which each worker makes for itself.
+
 Links are counted, so the links within a group of near copies that aren't exact copies are
 each made; that is the size of the answer.  Hot buckets are split by the skew join.
 
@@ -23,6 +26,7 @@ empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000
 ROTATION_STEPS = 40
 MISS = 0.02
-#: Distinct vector lengths that are told apart; each has rotations of its own.
+#: Vector lengths, the most frequent first, that have rotations of their own; the others have seeded projections.
 MAX_LENGTHS = 64
 
 
@@ -80,6 +84,12 @@ def fit(x: np.ndarray, bits: int, seed: int = 5) -> list[tuple[np.ndarray, np.nd
     return out
 
 
+@lru_cache(8)
+def seeded(d: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Random directions for vectors of length ``d``, the same in every worker."""
+    return [(np.zeros(d), np.random.default_rng(d).normal(size=(d, bits)))]
+
+
 def chunks(x: np.ndarray, model: list, width: int, tables: int) -> np.ndarray:
     """Codes of rows of unit length: one integer for each table."""
     bits = np.concatenate([(x - mean) @ proj >= 0 for mean, proj in model], axis=1)
@@ -108,9 +118,7 @@ def candidate_links(reps: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b), a < b: distinct vectors whose cosine is at least the threshold, as the tables find them."""
     spark = reps.sparkSession
     width, radius, tables = plan(n, threshold)
-    lengths = [r[0] for r in reps.select(F.size("vec")).distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"more than {MAX_LENGTHS} lengths of vectors")
+    lengths = [r[0] for r in reps.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(MAX_LENGTHS).collect()]
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     drawn = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec")
     models = {}
@@ -126,7 +134,8 @@ def candidate_links(reps: DataFrame, n: int, threshold: float) -> DataFrame:
             size = np.array(pc.list_value_length(vecs).to_pylist(), dtype=np.int64)
             for d in np.unique(size).tolist():
                 at = np.flatnonzero(size == d)
-                code = chunks(unit(matrix(vecs.take(pa.array(at)), d)), shared.value[d], width, tables)
+                model = shared.value.get(d) or seeded(d, width * tables)
+                code = chunks(unit(matrix(vecs.take(pa.array(at)), d)), model, width, tables)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([d] * len(at), pa.int32()), pa.array(list(code), pa.list_(pa.int64()))], names=["id", "d", "code"])
 
     codes = common.materialize(reps.select("id", "vec").mapInArrow(encode, "id long, d int, code array<long>"))
