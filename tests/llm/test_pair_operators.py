@@ -244,6 +244,23 @@ def test_embedding_dedup_of_many_lengths(spark, monkeypatch):
     assert [found[i] for i in range(len(rows))] == want
 
 
+def test_embedding_dedup_with_a_common_part(spark):
+    """Pairs just over the threshold, all vectors about one direction: a mean of length 0.88."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1000, 64)) / 8 * 0.53 + np.eye(64)[0])
+    u = rng.normal(size=x.shape)
+    u = unit(u - (u * x).sum(1, keepdims=True) * x)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * u
+    both = np.concatenate([x, y])
+    assert 0.8 < np.linalg.norm(both.mean(0)) < 0.9
+    near = both @ both.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(both)], "vec_id long, embedding array<double>")
+    links = sum(r.n_links for r in embeddup.near_duplicates(df).collect())
+    assert 0.97 <= links / near.sum() <= 1
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)] + [(7, 7), (None, 3)]

@@ -7,7 +7,10 @@ if some chunk differs in at most ``radius`` bits: each vector is in each table o
 looks up all values within the radius.  Chunks widen with the logarithm of the number of
 vectors, so the expected bucket doesn't grow, and the number of tables is chosen so that a
 pair at the threshold is missed with a probability of at most MISS (bits taken as independent,
-each differing with probability angle / pi).  A pair is taken in the first table that finds
+each differing with probability angle / pi).  Codes are taken after the mean is subtracted, which
+widens the angle of a pair, so the angle is that of the centred vectors, on average over the
+sample; a length that would need more than MAX_TABLES for that isn't centred, but projected on
+random directions.  A pair is taken in the first table that finds
 it; pairs whose whole codes are too far apart go; the rest is reranked by the cosine of the
 original vectors in double precision.  Components are found over the links.
 
@@ -40,6 +43,8 @@ THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000
 ROTATION_STEPS = 40
 MISS = 0.02
+#: Tables beyond which the vectors of a length aren't centred.
+MAX_TABLES = 64
 #: Vector lengths, the most frequent first, that have rotations of their own; the others have seeded projections.
 MAX_LENGTHS = 64
 
@@ -48,8 +53,19 @@ def chunk_hit(p: float, width: int, radius: int) -> float:
     return sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(radius + 1))
 
 
+def rate(threshold: float, r2: np.ndarray) -> np.ndarray:
+    """Chance that a bit differs between vectors at the threshold whose centred lengths, squared, are ``r2``."""
+    return np.arccos(np.clip(1 - (1 - threshold) / np.maximum(r2, 1e-12), -1, 1)) / math.pi
+
+
+def tables_for(p: np.ndarray, width: int, radius: int) -> int | None:
+    """Tables with which pairs whose bits differ with the chances ``p`` are missed by MISS on average; None: over MAX_TABLES."""
+    miss = 1 - chunk_hit(p, width, radius)
+    return next((k for k in range(2, MAX_TABLES + 1) if np.mean(miss**k) <= MISS), None)
+
+
 def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int, int]:
-    """(chunk width, radius, tables) for n vectors."""
+    """(chunk width, radius, tables) for n vectors that aren't centred."""
     p = math.acos(threshold) / math.pi
     width = min(30, max(10, math.ceil(math.log2(max(2, n)))))
     radius = 1 if width <= 18 else 2
@@ -121,11 +137,17 @@ def candidate_links(reps: DataFrame, n: int, threshold: float) -> DataFrame:
     lengths = [r[0] for r in reps.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(MAX_LENGTHS).collect()]
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     drawn = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec")
-    models = {}
+    samples = {}
     for d in lengths:
         x = drawn.where(F.size("vec") == d).toArrow().column("vec").combine_chunks()  # about SAMPLE_ROWS at most
-        x = matrix(x, d) if len(x) else np.eye(d)
-        models[d] = fit(unit(x), width * tables)
+        if not len(x):
+            continue
+        x = unit(matrix(x, d))
+        needed = tables_for(rate(threshold, ((x - x.mean(0)) ** 2).sum(1)), width, radius)
+        if needed is not None:
+            samples[d], tables = x, max(tables, needed)
+    bits = width * tables
+    models = {d: fit(x, bits) for d, x in samples.items()}
     shared = spark.sparkContext.broadcast(models)
 
     def encode(batches):
@@ -134,20 +156,21 @@ def candidate_links(reps: DataFrame, n: int, threshold: float) -> DataFrame:
             size = np.array(pc.list_value_length(vecs).to_pylist(), dtype=np.int64)
             for d in np.unique(size).tolist():
                 at = np.flatnonzero(size == d)
-                model = shared.value.get(d) or seeded(d, width * tables)
-                code = chunks(unit(matrix(vecs.take(pa.array(at)), d)), model, width, tables)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([d] * len(at), pa.int32()), pa.array(list(code), pa.list_(pa.int64()))], names=["id", "d", "code"])
-
-    codes = common.materialize(reps.select("id", "vec").mapInArrow(encode, "id long, d int, code array<long>"))
+                model = shared.value.get(d) or seeded(d, bits)
+                x = unit(matrix(vecs.take(pa.array(at)), d))
+                code = chunks(x, model, width, tables)
+                p = rate(threshold, ((x - model[0][0]) ** 2).sum(1))
+                far = np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p))).astype(np.int64)  # five deviations over what a pair at the threshold has
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([d] * len(at), pa.int32()), pa.array(list(code), pa.list_(pa.int64())), pa.array(far)], names=["id", "d", "code", "far"])
+
+    codes = common.materialize(reps.select("id", "vec").mapInArrow(encode, "id long, d int, code array<long>, far long"))
     masks = [sum(1 << i for i in c) for k in range(radius + 1) for c in _choices(width, k)]
     key = lambda c, m: F.shiftleft(F.col("t").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("d").cast("long"), 32)).bitwiseOR(c.bitwiseXOR(m))
-    each = lambda side: codes.select(F.col("id").alias(side), "d", F.col("code").alias(f"code_{side}"), F.posexplode("code").alias("t", "c"))
-    index = each("b").select(key(F.col("c"), F.lit(0).cast("long")).alias("key"), "b", "code_b")
-    asked = each("a").select("a", "code_a", "t", F.explode(F.array(*[key(F.col("c"), F.lit(m).cast("long")) for m in masks])).alias("key"))
+    each = lambda side: codes.select(F.col("id").alias(side), "d", F.col("code").alias(f"code_{side}"), F.col("far").alias(f"far_{side}"), F.posexplode("code").alias("t", "c"))
+    index = each("b").select(key(F.col("c"), F.lit(0).cast("long")).alias("key"), "b", "code_b", "far_b")
+    asked = each("a").select("a", "code_a", "far_a", "t", F.explode(F.array(*[key(F.col("c"), F.lit(m).cast("long")) for m in masks])).alias("key"))
     near = lambda k: F.bit_count(F.col("code_a")[k].bitwiseXOR(F.col("code_b")[k]))
-    p = math.acos(threshold) / math.pi
-    bits = width * tables
-    far = math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))  # five deviations over what a pair at the threshold has
+    far = F.greatest("far_a", "far_b")  # the shorter of two centred vectors bounds the angle between them
     first = F.lit(True)
     for k in range(tables - 1):
         first = first & ((F.col("t") <= k) | (near(k) > radius))
