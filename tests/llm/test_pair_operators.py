@@ -128,7 +128,9 @@ def test_signatures_of_similar_sets_meet():
                 continue
             sa, sb = jaccard.signatures(a), jaccard.signatures(b)
             assert len(np.intersect1d(sa >> np.uint64(1), sb >> np.uint64(1)))
-            assert all(jaccard.may_link(len(a), len(b), jaccard.bitmap(a, k), jaccard.bitmap(b, k)) for k in (1, jaccard.FINE))
+            assert jaccard.similar(a, b)
+            assert all(np.bitwise_count(jaccard.bitmap(a, k) ^ jaccard.bitmap(b, k)).sum() <= jaccard.most_apart(len(a) + len(b)) for k in (64, 256, 4096))
+            assert jaccard.connect([a, b]) and not jaccard.connect([a, b], np.array([7, 7])) and not jaccard.connect([a, b], np.array([1, 2]), np.array([0, 0]))
 
 
 def dedup_by_hand(rows):

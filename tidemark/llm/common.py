@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: Rows of text turned into Python objects at once, whatever the Arrow batch holds.
 SLICE_ROWS = 256
 #: Bytes of text after which a slice is closed early, so that long documents stay few at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a worker; both sides hold a few of them.
+BATCH_BYTES = 2 << 20
+#: Rows to a file of a written table of a few short columns.
+FILE_ROWS = 500_000
+#: Rows of a few short columns that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; choose one only where none is set (tests)."""
+    """Use the shared folder that the cluster names; choose one only for a local session without any (tests, benchmarks)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     sc.setCheckpointDir(folder)
 
@@ -34,15 +44,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; they count as disk until then."""
-    import gc
+def narrow(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write a table of a few short columns to the checkpoint folder in as few files as its rows need; with the number of rows."""
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        rows = kept.count()
+        return materialize(kept.coalesce(max(1, -(-rows // FILE_ROWS)))), rows
+    finally:
+        kept.unpersist()
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def picked(df: DataFrame, keys: DataFrame, rows: int, on: str | list[str] | Column, how: str) -> DataFrame:
+    """``df`` joined to ``keys``, which are broadcast if they have up to BROADCAST_ROWS ``rows``; else both are shuffled."""
+    return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, how)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch for a worker exceed BATCH_BYTES, single rows aside, whatever its number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -78,6 +101,12 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterable[dic
     return df.mapInArrow(run, spark_schema)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u of ``edges(u, v)`` has one v only, and no v is a u: then each component is a star around its smallest id."""
+    n, different = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == different and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Smallest reachable id of every node in the undirected graph ``edges(a, b)``.
 
@@ -86,33 +115,18 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     Returns (id, component_id) of the nodes in ``edges``; with ``nodes(id)``, of those too.
     The lineage is cut after each round in the shared checkpoint folder.
     """
-    cur = materialize(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    while True:
+    cur, rows = narrow(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _stars(cur):
         # large star: every larger neighbour of u is tied to u's smallest neighbour (u included)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, _ = narrow(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: u's smaller neighbours and u itself are tied to the smallest of them
-        large = materialize(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u")
-        small = (
-            tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        new = materialize(small)
-        change = new.exceptAll(cur).limit(1).count() if new.count() == cur.count() else 1
-        cur = new
-        if not change:
-            break
-    found = cur.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
-    roots = cur.select(F.col("v").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("component_id", F.col("id"))
-    all_ids = found.unionByName(roots)
+        tied = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        cur, rows = narrow(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    found = cur.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    all_ids = found.unionByName(cur.select(F.col("v").alias("id")).distinct().withColumn("component_id", F.col("id")))
     if nodes is None:
         return all_ids
-    return nodes.join(all_ids, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return picked(nodes, all_ids, 2 * rows, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
