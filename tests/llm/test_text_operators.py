@@ -1,6 +1,7 @@
 """Operators that work on one text at a time, against the libraries or plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -137,6 +138,53 @@ def test_quality_adapts_to_its_group(spark):
     assert kept[1000] == {(False, False), (False, True)} and kept[1001] == kept[1002] == kept[1003] == {(True, False)}
 
 
+def quality_verdicts(rows):
+    """kept of every row, from sorted values: the quantiles' buckets, fences and their weighing by hand."""
+    stats = [quality.counts(t) for _, t, _, _ in rows]
+    ratio = lambda a, b: a / b if b else 0.0
+    metric = [{"word_length": ratio(c[1], c[0]), "symbol_ratio": ratio(c[2], c[1]), "dup_line_ratio": ratio(c[3], c[5]), "repeat_ratio": ratio(c[4], c[0])} for c in stats]
+    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in stats]
+
+    def limits(members, name):
+        up, floor, down = quality.FACTORS[name]
+        values = sorted(metric[i][name] for i in members)
+        rounded = lambda x: 1.02 ** (math.ceil(math.log(x) / math.log(1.02)) - 0.5) if x > 0 else 0.0
+        q = lambda p: rounded(values[-(-p * len(values) // 100) - 1])
+        spread = 3 * (q(75) - q(25))
+        return max(q(75) + spread, up * q(90), floor), min(q(25) - spread, down * q(10)) if down else -1.0
+
+    out = []
+    for k, (_, _, lang, source) in enumerate(rows):
+        past = [i for i, f in enumerate(failed) if not f]
+        levels = [past, [i for i in past if rows[i][2] == lang], [i for i in past if rows[i][2:] == (lang, source)]]
+        fine = not failed[k]
+        for name in quality.FACTORS if fine else ():
+            most, least = limits(levels[0], name)
+            for members in levels[1:]:
+                fence, n = limits(members, name), len(members)
+                most, least = ((n * a + quality.PRIOR * b) / (n + quality.PRIOR) for a, b in zip(fence, (most, least), strict=True))
+            fine = fine and least <= metric[k][name] <= most
+        out.append((failed[k], fine))
+    return out
+
+
+def test_quality_verdicts(spark):
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for i in range(400):
+        lang, source = rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s0", "s1", None])
+        size = {"en": 5, "de": 9, None: 7}[lang] + (rng.random() < 0.1) * rng.choice([-3, 9, 12, 15])
+        lines = [" ".join(word(max(1, size + rng.randrange(-2, 3))) + "#" * (rng.random() < 0.05 * (source == "s1")) for _ in range(rng.randrange(5, 30))) for _ in range(rng.randrange(1, 8))]
+        rows.append((i, "\n".join(lines + lines[:1] * (rng.random() < 0.2)), lang, source))
+    rows += [(400, None, "en", "s0"), (401, "", None, None), (402, "x " * 30_000, "xx", "s9"), (403, " ".join(word(6) for _ in range(30_000)), "only", "one"), rows[0]]
+    want = quality_verdicts(rows)
+    assert 10 < sum(not f and not k for f, k in want) < 300
+    df = spark.createDataFrame([(*r, True, 5) for r in rows], "doc_id long, text string, lang string, source string, kept boolean, n_words int").repartition(3)
+    got = quality.judge(df).select("doc_id", "base_failed", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted((r[0], *w) for r, w in zip(rows, want, strict=True))
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 

@@ -88,6 +88,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterable[dic
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bounded_batches(df.sparkSession)
     spark_schema = _parse_datatype_string(schema)
     arrow = to_arrow_schema(spark_schema)
 

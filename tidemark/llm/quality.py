@@ -3,10 +3,13 @@
 Each metric of a document falls into a bucket of a relative-error quantile sketch: bucket b
 holds values from GAMMA^(b-1) to GAMMA^b, zero has its own.  A sketch is its buckets' counts,
 so sketches merge by adding counts, in any order and with the same result; they are made by
-one pre-aggregated groupBy per language and source.  Groups with few documents use the merged
-sketch of their language, or of everything.  A document is kept if no metric lies beyond
-Tukey's fences of its group (quartiles and their distance, and a least margin).  Documents
-that fail the base rules are left out of the sketches.
+one pre-aggregated groupBy per language and source, and merged to those of each language and of
+everything.  From each come fences: as far from the outer deciles as FACTORS say, or as Tukey's
+fences (quartiles and their distance), whichever is wider, and for shares no lower than a floor.
+A group's fences are weighed with those of its language, and these with those of everything,
+by their numbers of documents against PRIOR, so a group of any size has its own and none jumps.
+A document is kept if no metric lies beyond the fences of its group.  Documents that fail the
+base rules are left out of the sketches.
 
 Rows: a null text has no words and fails the base rules; null language or source is a group
 of its own; repeated rows each give a row and each count in the sketches; texts of any length
@@ -32,12 +35,12 @@ SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02
 #: Bucket of zero, and of anything smaller than GAMMA ** (ZERO + 1).
 ZERO = -1000
-#: Documents that a group needs for thresholds of its own.
-MIN_GROUP = 200
+#: Documents that the coarser sketch counts as beside a group's own.
+PRIOR = 50
 #: Times the distance of the quartiles that a fence stands off.
 FENCE = 3.0
-#: metric: (least distance of the upper fence from the upper quartile, of the lower from the lower; None: no such fence)
-MARGINS = {"word_length": (2.0, 1.5), "symbol_ratio": (0.03, None), "dup_line_ratio": (0.3, None), "repeat_ratio": (0.15, None)}
+#: metric: (times the upper decile, least upper fence, times the lower decile or None for no lower fence)
+FACTORS = {"word_length": (1.3, 0.0, 0.72), "symbol_ratio": (1.5, 0.03, None), "dup_line_ratio": (1.5, 0.3, None), "repeat_ratio": (1.5, 0.15, None)}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: Fixed value: what stands between words (space, tab, line feed, vertical tab, form feed, carriage return).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -114,51 +117,56 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Size and quartiles of each sketch; a sketch has a bounded number of buckets."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Size, outer deciles and quartiles of each sketch; a sketch has a bounded number of buckets."""
     w = Window.partitionBy(*keys, "metric")
     upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = sketch.withColumn("upto", upto).withColumn("total", F.sum("n").over(w))
     value = F.when(F.col("bucket") > ZERO, F.pow(F.lit(GAMMA), F.col("bucket") - 0.5)).otherwise(0.0)
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-    return ranked.groupBy(*keys, "metric").agg(F.first("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= q * F.col("total"), value)).alias(f"q{q}")
+    return ranked.groupBy(*keys, "metric").agg(F.first("total").alias("total"), *map(at, (10, 25, 75, 90)))
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each group: its size and the fences of each metric."""
-    q = quartiles(sketch, keys)
+    q = quantiles(sketch, keys)
     wide = [F.max("total").alias("total")]
-    for m, (up, down) in MARGINS.items():
+    for m, (up, floor, down) in FACTORS.items():
         of = lambda c, m=m: F.max(F.when(F.col("metric") == m, F.col(c)))
-        spread = (of("q3") - of("q1")) * FENCE
-        wide.append((of("q3") + F.greatest(spread, F.lit(up))).alias(f"{m}_most"))
+        spread = (of("q75") - of("q25")) * FENCE
+        wide.append(F.greatest(of("q75") + spread, of("q90") * up, F.lit(floor)).alias(f"{m}_most"))
         if down is not None:
-            wide.append((of("q1") - F.greatest(spread, F.lit(down))).alias(f"{m}_least"))
+            wide.append(F.least(of("q25") - spread, of("q10") * down).alias(f"{m}_least"))
     return q.groupBy(*keys).agg(*wide) if keys else q.agg(*wide)
 
 
+LIMITS = [f"{m}_{side}" for m, (_, _, down) in FACTORS.items() for side in ("most", "least") if side == "most" or down is not None]
+
+
+def blended(sketch: DataFrame) -> DataFrame:
+    """(g_lang, g_source, fence): the fences of each group, weighed with the coarser ones."""
+    named = lambda d, tag: d.withColumnsRenamed({c: f"{tag}_{c}" for c in [*LIMITS, "total", "lang"] if c in d.columns})
+    own = fences(sketch, ["lang", "source"])
+    lang, everything = named(fences(merge(sketch, ["lang"]), ["lang"]), "lang"), named(fences(merge(sketch, []), []), "all")  # the latter is one row
+    both = own.join(lang, own["lang"].eqNullSafe(lang["lang_lang"])).join(F.broadcast(everything), F.lit(True))
+    weighed = lambda n, a, b: (F.col(n) * F.col(a) + PRIOR * b) / (F.col(n) + PRIOR)
+    fence = [weighed("total", c, weighed("lang_total", f"lang_{c}", F.col(f"all_{c}"))).alias(c) for c in LIMITS]
+    return both.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct(*fence).alias("fence"))
+
+
 def judge(df: DataFrame, **names: str) -> DataFrame:
     """Counts of every document, whether the base rules fail, and whether it is kept."""
-    stats = common.materialize(
+    stats, _ = common.narrow(
         measure(df, **names).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     )
-    fine = common.materialize(sketches(stats))  # a row for each group and bucket
-    limits = [f"{m}_{side}" for m, sides in MARGINS.items() for side, v in zip(("most", "least"), sides, strict=True) if v is not None]
-    pick = lambda d, tag, keys: d.select(*keys, F.struct(*limits).alias(tag), F.col("total").alias(f"{tag}_n"))
-    own = pick(fences(fine, ["lang", "source"]), "own", ["lang", "source"])
-    lang = pick(fences(merge(fine, ["lang"]), ["lang"]), "by_lang", [F.col("lang").alias("l")])
-    everything = pick(fences(merge(fine, []), []), "overall", [])  # one row
-    chosen = (
-        own.join(lang, own["lang"].eqNullSafe(lang["l"]), "left").join(F.broadcast(everything), F.lit(True), "left")
-        .select("lang", "source", F.when(F.col("own_n") >= MIN_GROUP, F.col("own")).when(F.col("by_lang_n") >= MIN_GROUP, F.col("by_lang")).otherwise(F.col("overall")).alias("fence"))
-        .withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    )
-    # as many rows as groups: broadcast only if measured small at run time, else split by skew
-    joined = stats.join(chosen, stats["lang"].eqNullSafe(chosen["g_lang"]) & stats["source"].eqNullSafe(chosen["g_source"]), "left")
+    sketch, _ = common.narrow(sketches(stats))  # a row for each group and bucket
+    # as many rows as groups: broadcast only if few, else split by skew
+    chosen, groups = common.narrow(blended(sketch))
+    joined = common.picked(stats, chosen, groups, stats["lang"].eqNullSafe(chosen["g_lang"]) & stats["source"].eqNullSafe(chosen["g_source"]), "left")
     within = F.lit(True)
     for m, x in metrics().items():
         within = within & (x <= F.col(f"fence.{m}_most"))
-        if MARGINS[m][1] is not None:
+        if f"{m}_least" in LIMITS:
             within = within & (x >= F.col(f"fence.{m}_least"))
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
