@@ -264,6 +264,7 @@ def test_pii_runs_without_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+SF = "/root/testdata/sf0.001"
 LANGS = {"aa": ["kala", "mana", "tuli", "pera", "vosi"], "bb": ["schön", "brück", "stück", "zwölf", "kraft"], "cc": ["thing", "would", "quick", "where", "shall"]}
 
 
@@ -288,6 +289,29 @@ def test_language_id_without_labels(spark):
     assert [r.lang_pred for r in langid.identify(df, langid.train(df)).collect()] == ["und"]
 
 
+def test_language_id_query(spark):
+    """The split, that held-out labels are never learned, and accuracy on them, over all documents of the smallest tables."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = langid.op2_language_id(spark, SF).collect()
+    assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]
+    assert len(held) > 40 and sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.97
+    df = spark.createDataFrame([(i, "kala mana tuli" if zlib.crc32(str(i).encode()) % 3 != 1 else "thing would", "aa" if zlib.crc32(str(i).encode()) % 3 != 1 else "cc") for i in range(60)], "doc_id long, text string, lang string")
+    assert langid.train(df).langs == ["aa"]
+
+
+def test_language_id_edges(spark):
+    """An empty table, a very long text with counts beyond 16 bits, equal texts with equal scores, and names that clash."""
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.identify(empty, langid.train(empty)).count() == 0 and langid.accepted(empty, langid.train(empty)).count() == 0
+    rows = [(k, "kala mana " * (20_000 if k == 5 else 4), "aa", "q", 1.0) for k in range(20)] + [(k, "thing would " * 4, "cc", "q", 2.0) for k in range(20, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, rejected double")
+    model = langid.train(df)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, model).collect()}
+    assert [got[k][0] for k in range(40)] == ["aa"] * 20 + ["cc"] * 20 and len({got[k] for k in range(20, 40)}) == 1
+    assert langid.accepted(df, model).columns == df.columns
+
+
 @pytest.mark.parametrize("run", [lambda d: bpe.digest_documents(d, bpe.default_path()), lambda d: packing.pack_documents(d, bpe.default_path()), lambda d: tokencount.count_tokens(d, bpe.default_path("word_bpe_49k.json")), pii.find_spans])
 def test_empty_tables(spark, run):
     assert run(frame(spark, []).limit(0)).count() == 0

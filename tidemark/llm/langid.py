@@ -113,12 +113,10 @@ def learnable(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
     """Hashed window counts of the sampled rows: (lang, draw, buckets, counts), packed, some kilobytes a row."""
     rows = learnable(df, id_col, text_col, lang_col)
-    sizes = rows.groupBy("lang").count()
-    total = sizes.agg(F.count("*").alias("langs"))
-    share = sizes.crossJoin(F.broadcast(total)).select(  # one row
-        "lang", (F.least(F.lit(float(SAMPLE_PER_LANG)), F.lit(float(SAMPLE_ROWS)) / F.col("langs")) / F.col("count") * (1 << 30)).alias("most")
-    )
-    drawn = rows.join(share, "lang").where("draw < most").select("draw", "text", "lang")
+    sizes, langs = common.narrow(rows.groupBy("lang").count())
+    share = sizes.select("lang", (F.lit(min(float(SAMPLE_PER_LANG), SAMPLE_ROWS / max(1, langs))) / F.col("count") * (1 << 30)).alias("most"))
+    # a row for each language: broadcast if few, so that no text moves before it is drawn
+    drawn = common.picked(rows, share, langs, "lang", "inner").where("draw < most").select("draw", "text", "lang")
 
     def fn(part: pa.RecordBatch) -> dict:
         texts = part.column(1).to_pylist()
@@ -129,7 +127,7 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
             for a, b in zip(begin, [*begin[1:], hashed.shape[1]], strict=True):
                 i, n = np.unique(hashed[:, a:b], return_counts=True)
                 buckets.append(i.astype("<u2").tobytes())
-                counts.append(np.minimum(n, 65535).astype("<u2").tobytes())
+                counts.append(n.astype("<u2" if n.max() < 1 << 16 else "<u4").tobytes())
         return {"lang": part.column(2).take(pa.array(at, pa.int64())), "draw": part.column(0).take(pa.array(at, pa.int64())), "buckets": buckets, "counts": counts}
 
     return sorted(common.map_slices(drawn, fn, "lang string, draw long, buckets binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, len(r.buckets)))
@@ -147,7 +145,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     at = {lang: k for k, lang in enumerate(langs)}
 
     def example(k: int) -> tuple[int, np.ndarray, np.ndarray]:
-        n = np.frombuffer(rows[k].counts, dtype="<u2").astype(np.float64)
+        n = np.frombuffer(rows[k].counts, dtype="<u2" if len(rows[k].counts) == len(rows[k].buckets) else "<u4").astype(np.float64)
         return at[rows[k].lang], np.frombuffer(rows[k].buckets, dtype="<u2").astype(np.int64), n / n.sum()
 
     order = rng.permutation(len(rows))
