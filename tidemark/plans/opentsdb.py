@@ -52,14 +52,17 @@ def sub_query(engine, q: dict, start: int, end: int) -> tuple[DataFrame, list[st
     return got.orderBy(*[F.asc_nulls_first(F.col(f"`{t}`")) for t in group], "ts"), group
 
 
-def series(df: DataFrame, metric: str, tags: list[str]) -> DataFrame:
+def series(df: DataFrame, metric: str, tags: list[str], aggregated: list[str] = ()) -> DataFrame:
     """(metric, tags, aggregatedTags, dps): a row for each series, maps by key."""
     tags = sorted(tags)
     named = F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*[F.coalesce(F.col(f"`{t}`").cast("string"), F.lit("")) for t in tags])) if tags else F.expr("cast(map() as map<string,string>)")
     points = F.array_sort(F.collect_list(F.struct(F.col("ts"), F.col("value"))))
-    got = df.groupBy(*[F.col(f"`{t}`") for t in tags]).agg(points.alias("points"))
+    by = [F.col(f"`{t}`") for t in tags]
+    got = df.groupBy(*by).agg(points.alias("points")).where("size(points) > 0")  # without tags, no rows are no series
+    got = got.orderBy(*by) if by else got
     dps = F.map_from_entries(F.transform("points", lambda p: F.struct(p["ts"].cast("string"), p["value"])))
-    return got.orderBy(*[F.col(f"`{t}`") for t in tags]).select(F.lit(metric).alias("metric"), named.alias("tags"), F.array().cast("array<string>").alias("aggregatedTags"), dps.alias("dps"))
+    shared = F.array(*map(F.lit, aggregated)) if aggregated else F.array().cast("array<string>")
+    return got.select(F.lit(metric).alias("metric"), named.alias("tags"), shared.alias("aggregatedTags"), dps.alias("dps"))
 
 
 def query(engine, request: dict | str) -> list[DataFrame]:
@@ -68,7 +71,7 @@ def query(engine, request: dict | str) -> list[DataFrame]:
     out = []
     for q in request["queries"]:
         df, tags = sub_query(engine, q, int(request["start"]), int(request["end"]))
-        out.append(series(df, q["metric"], tags))
+        out.append(series(df, q["metric"], tags, [] if q.get("aggregator", "none") == "none" else tags))
     return out
 
 
