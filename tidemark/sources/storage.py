@@ -1,7 +1,8 @@
 """Tables as Parquet directories: appended batches, overwrite by primary key, segments, partitions, expiry.
 
-A table's folder holds ``_meta.json`` and ``data/``, partitioned by segment (a slice of time)
-and, for partitioned tables, by partition.  Each write adds files with a batch number and a row
+A table's folder holds ``_meta.json`` and a data folder, which the former names; data are
+partitioned by segment (a slice of time) and, for partitioned tables, by partition.  Compaction
+writes another data folder and then names that one.  Each write adds files with a batch number and a row
 number; the larger pair is the later write.  Overwrite tables are reduced to the last write of
 each key when they are read, by an aggregation that combines before it shuffles.
 """
@@ -10,11 +11,12 @@ from __future__ import annotations
 
 import itertools
 import json
-import random
+import os
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,48 +29,48 @@ INTERNAL = (SEGMENT, PART, BATCH, ROW)
 
 
 class Folder:
-    """Small files through Hadoop's file systems, so that any store that Spark reads will do."""
+    """Small files beside the data, in any store that Arrow's file systems reach."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, root: str) -> None:
+        self.root = root.rstrip("/")
+        self._fs, self._base = fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("/") else os.path.abspath(self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}" if name else self.root
 
+    def _at(self, name: str) -> str:
+        return f"{self._base}/{name}" if name else self._base
+
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(self.path(name)))
+        return self._fs.get_file_info(self._at(name)).type != fs.FileType.NotFound
 
-    def list(self, name: str = "") -> list[str]:
-        if not self.exists(name):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path(name))))
+    def list(self, name: str = "", recursive: bool = False) -> list[str]:
+        """Names in a folder; with ``recursive``, the paths of all files in it, hidden ones aside."""
+        found = self._fs.get_file_info(fs.FileSelector(self._at(name), allow_not_found=True, recursive=recursive))
+        if not recursive:
+            return sorted(x.base_name for x in found)
+        return sorted(x.path.removeprefix(self._at(name) + "/") for x in found if x.type == fs.FileType.File and x.base_name[0] not in "._")
 
     def read(self, name: str) -> str:
-        stream = self._fs.open(self._path(self.path(name)))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        with self._fs.open_input_stream(self._at(name)) as f:
+            return f.read().decode()
 
     def write(self, name: str, text: str) -> None:
-        """The whole file at once: written beside, then renamed over the old one."""
-        beside, final = self._path(self.path(f"{name}.new")), self._path(self.path(name))
-        out = self._fs.create(beside, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(beside, final)
+        """The whole file at once: what reads it meanwhile sees the old one or the new one."""
+        self._fs.create_dir(self._at(os.path.dirname(name)), recursive=True)
+        local = self._fs.type_name == "local"  # elsewhere a file appears when it is closed
+        beside = f"{name}.new" if local else name
+        with self._fs.open_output_stream(self._at(beside)) as f:
+            f.write(text.encode())
+        if local:
+            self._fs.move(self._at(beside), self._at(name))  # replaces in one step
 
     def delete(self, name: str = "") -> None:
-        self._fs.delete(self._path(self.path(name)), True)
-
-    def rename(self, old: str, new: str) -> None:
-        if not self._fs.rename(self._path(self.path(old)), self._path(self.path(new))):
-            raise OSError(f"can't rename {old} to {new}")
+        kind = self._fs.get_file_info(self._at(name)).type
+        if kind == fs.FileType.Directory:
+            self._fs.delete_dir(self._at(name))
+        elif kind == fs.FileType.File:
+            self._fs.delete_file(self._at(name))
 
 
 @dataclass
@@ -95,10 +97,16 @@ class Storage:
 
     def __init__(self, spark: SparkSession, root: str, meta: TableMeta) -> None:
         self.spark, self.meta = spark, meta
-        self.folder = Folder(spark, root)
+        self.folder = Folder(root)
+
+    def save_meta(self, data: str | None = None) -> None:
+        """Write the table's schema and the name of its data folder, both at once."""
+        self.folder.write("_meta.json", json.dumps({"table": self.meta.to_json(), "data": data or self.data}))
 
-    def save_meta(self) -> None:
-        self.folder.write("_meta.json", json.dumps({"table": self.meta.to_json()}))
+    @property
+    def data(self) -> str:
+        """The folder that holds the data now."""
+        return json.loads(self.folder.read("_meta.json")).get("data", "data") if self.folder.exists("_meta.json") else "data"
 
     # ---- writing -------------------------------------------------------------------------
 
@@ -125,8 +133,17 @@ class Storage:
         return df.select(*[F.col(f"`{c.name}`") for c in meta.columns], *extra)
 
     def append(self, df: DataFrame, batch: int | None = None, now_ms: int | None = None) -> None:
-        """Write rows: expired ones are dropped, the rest goes to segments and partitions, sorted by key."""
-        meta = self.meta
+        """Write rows: expired ones are dropped, the rest goes to segments and partitions, sorted by key.
+
+        A ``batch`` that was written whole isn't written again; what a failed attempt left of it goes first.
+        """
+        meta, data = self.meta, self.data
+        if batch is not None:
+            if self.folder.exists(f"_batches/{batch}.done"):
+                return
+            if self.folder.exists(f"_batches/{batch}.begun"):
+                self._forget(batch)
+            self.folder.write(f"_batches/{batch}.begun", "")
         rows = self.prepare(df.withColumn(ROW, F.monotonically_increasing_id()), (ROW,))  # numbered before any shuffle
         ms = F.unix_millis(F.col(f"`{meta.timestamp_key}`"))
         if meta.ttl_ms is not None:
@@ -140,7 +157,16 @@ class Storage:
         writer = out.write.mode("append").partitionBy(*by).option("compression", self._codec())
         for c in [*meta.tags, *([meta.column(TSID)] if meta.has(TSID) else [])]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c.name}", "true")
-        writer.parquet(self.folder.path("data"))
+        writer.parquet(self.folder.path(data))
+        if batch is not None:
+            self.folder.write(f"_batches/{batch}.done", "")
+
+    def _forget(self, batch: int) -> None:
+        """Delete the files of a batch; a file holds rows of one batch until it is compacted, which only whole batches are."""
+        found = self.files().where(F.col(BATCH) == batch).select(F.col("_metadata.file_path").alias("file")).distinct()
+        for r in found.toLocalIterator():
+            at = r.file.rfind(f"/{self.data}/")
+            self.folder.delete(r.file[at + 1 :].replace("%3D", "="))
 
     def _codec(self) -> str:
         given = self.meta.option("compression").lower()
@@ -150,8 +176,8 @@ class Storage:
         p = self.meta.partitioning
         if p is None:
             return rows
-        if p.method == "random":  # a batch of rows goes to one partition
-            return rows.withColumn(PART, F.lit(random.randrange(p.partitions)))
+        if p.method == "random":  # the rows of a task go to one partition
+            return rows.withColumn(PART, F.pmod(F.xxhash64(F.spark_partition_id(), F.lit(time.time_ns())), F.lit(p.partitions)).cast("int"))
         return hashing.with_partition(rows, [(self.meta.column(c).kind, c) for c in p.columns], p.partitions, PART)
 
     # ---- reading -------------------------------------------------------------------------
@@ -163,9 +189,10 @@ class Storage:
         fields += [T.StructField(BATCH, T.LongType()), T.StructField(ROW, T.LongType()), T.StructField(SEGMENT, T.LongType())]
         if meta.partitioning:
             fields.append(T.StructField(PART, T.IntegerType()))
-        if not self.folder.exists("data"):
+        data = self.data
+        if not self.folder.exists(data):
             return self.spark.createDataFrame([], T.StructType(fields))
-        return self.spark.read.schema(T.StructType(fields)).parquet(self.folder.path("data"))
+        return self.spark.read.schema(T.StructType(fields)).parquet(self.folder.path(data))
 
     def scan(self, span: TimeRange | None = None, keys: dict[str, Iterable] | None = None) -> DataFrame:
         """The table's rows: the last write of each key, or all of an append table.
@@ -210,24 +237,32 @@ class Storage:
     # ---- upkeep --------------------------------------------------------------------------
 
     def compact(self, now_ms: int | None = None) -> None:
-        """Rewrite the table with the last write of each key in few sorted files; drop expired segments."""
-        if not self.folder.exists("data"):
+        """Rewrite the table with the last write of each key in few sorted files; drop expired segments.
+
+        Readers see the old data folder or the new one; files that came meanwhile make it fail, the table as it was.
+        """
+        old = self.data
+        if not self.folder.exists(old):
             return
         self.expire(now_ms)
-        if not self.folder.exists("data"):
+        had = self.folder.list(old, recursive=True)
+        if not had:
             return
-        df = self.files()
-        names = [c.name for c in self.meta.columns]
-        if self.meta.overwrite:
-            df = last_write(df, list(self.meta.primary_key), [], keep=(BATCH, ROW, SEGMENT, *([PART] if self.meta.partitioning else [])))
+        new = f"data-{int(old.removeprefix('data').removeprefix('-') or 0) + 1}"
+        self._rewritten(self.files()).parquet(self.folder.path(new), mode="overwrite")
+        if self.folder.list(old, recursive=True) != had:
+            self.folder.delete(new)
+            raise SchemaError(f"{self.meta.name} was written to while it was compacted")
+        self.save_meta(new)
+        self.folder.delete(old)
+
+    def _rewritten(self, df: DataFrame):
+        """A writer of the last write of each key, or of all rows, by segment and partition."""
         by = [SEGMENT, *([PART] if self.meta.partitioning else [])]
-        out = df.select(*[F.col(f"`{n}`") for n in names], BATCH, ROW, *by).hint("rebalance", *by).sortWithinPartitions(*by, *[F.col(f"`{k}`") for k in self.meta.primary_key])
-        self.folder.delete("data.new")
-        out.write.partitionBy(*by).option("compression", self._codec()).parquet(self.folder.path("data.new"))
-        self.folder.delete("data.old")
-        self.folder.rename("data", "data.old")
-        self.folder.rename("data.new", "data")
-        self.folder.delete("data.old")
+        if self.meta.overwrite:
+            df = last_write(df, list(self.meta.primary_key), [], keep=(BATCH, ROW, *by))
+        out = df.select(*[F.col(f"`{c.name}`") for c in self.meta.columns], BATCH, ROW, *by).hint("rebalance", *by)
+        return out.sortWithinPartitions(*by, *[F.col(f"`{k}`") for k in self.meta.primary_key]).write.partitionBy(*by).option("compression", self._codec())
 
     def file_stats(self) -> DataFrame:
         """(file, bytes, rows, first, last): what each data file holds, times in milliseconds."""
@@ -241,9 +276,10 @@ class Storage:
             return []
         last = (now_ms if now_ms is not None else int(time.time() * 1000)) - self.meta.ttl_ms
         gone = []
-        for name in self.folder.list("data"):
+        data = self.data
+        for name in self.folder.list(data):
             if name.startswith(f"{SEGMENT}=") and (int(name.split("=")[1]) + 1) * self.meta.segment_ms <= last:
-                self.folder.delete(f"data/{name}")
+                self.folder.delete(f"{data}/{name}")
                 gone.append(name)
         return gone
 
