@@ -198,6 +198,32 @@ def test_postings_and_filters_are_reversible(spark, lined):
     assert sum(holds(back, added)) <= 1
 
 
+def test_line_index_comes_and_goes(spark, monkeypatch):
+    """Random insertions and deletions, some repeated, against counts made anew; filters broadcast and apart give the same drops."""
+    rng = random.Random(9)
+    text = lambda: "\n".join(f"a line of text number {rng.randrange(60)}" for _ in range(rng.randrange(1, 12)))
+    docs = {i: text() for i in range(40)}
+    frame = lambda ids: spark.createDataFrame([(i, docs[i]) for i in ids], "doc_id long, text string")
+    present = set(range(15))
+    index = linededup.LineIndex.build(linededup.postings(frame(present)))
+    table = lambda d: sorted(map(tuple, d.collect()))
+    drops = lambda: sorted((r.doc_id, tuple(sorted(map(tuple, r.gone)))) for r in index.drops().collect())
+    first = table(index.counts), drops()
+    for come, gone in (([20, 21, 3], []), ([], [0, 1, 3, 20]), ([0, 1, 3, 25], []), ([], [21, 25, 39])):
+        index = index.insert(linededup.postings(frame(come))) if come else index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        present = present | set(come) - set(gone) if come else present - set(gone)
+        assert table(index.counts) == table(linededup.counted(linededup.postings(frame(present))))
+        filters = {r.shard: linededup.CuckooFilter.from_bytes(bytes(r.filter)) for r in index.filters.collect()}
+        for h1, h2, refs, _ in table(index.counts):
+            assert refs < 2 or filters[h1 % index.shards].contains(np.array([h1]), np.array([h2]))[0]
+        want = drops()
+        monkeypatch.setattr(linededup, "FILTER_BYTES", 0)
+        monkeypatch.setattr(linededup, "CHUNK_ROWS", 7)
+        assert drops() == want == sorted((r.doc_id, tuple(sorted(map(tuple, r.gone)))) for r in linededup.drops(index.posted, linededup.references(index.posted)).collect())
+        monkeypatch.undo()
+    assert (table(index.counts), drops()) == first
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(3)
     h = rng.integers(-(1 << 63), 1 << 63, (2, 5000))

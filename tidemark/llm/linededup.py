@@ -6,10 +6,12 @@ the documents of each key and keeps the smallest.  Keys that are found in at lea
 documents and have MIN_CHARS code points lose their lines in all documents but the smallest.
 
 The keys with two or more documents are spread over shards, each with a cuckoo filter of at
-most SHARD_KEYS keys.  The filters take insertions and deletions (``update_shards``), so when
-documents come or go only postings change and the shards of the keys concerned are updated;
-deleting what was inserted gives the former state back.  A lookup asks the filter first, if
-all filters together are within FILTER_BYTES (counted), and then always the exact table.
+most SHARD_KEYS keys.  A ``LineIndex`` holds postings, exact reference counts and filters; when
+documents come or go, the counts take +1 and -1 merged by key, only keys that lose their smallest
+document are looked up in the postings again, and only the shards of keys that begin or cease to
+be shared are updated.  Deleting what was inserted gives the former state back.  A lookup asks the
+filters first and then the exact table: filters of up to FILTER_BYTES in all (counted) are
+broadcast, larger ones meet the postings shard by shard, each cut into chunks of CHUNK_ROWS.
 
 Rows: a null or empty text is one empty line; lines of any length count whole; rows with a
 null id neither hold nor lose lines; rows that repeat an id count as one document; an empty
@@ -19,6 +21,7 @@ table gives an empty table; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ MIN_CHARS = 10
 SHARD_KEYS = 100_000
 #: Filters are broadcast up to this size together.
 FILTER_BYTES = 64 << 20
+#: Postings that are looked up in one copy of a shard's filter, when filters aren't broadcast.
+CHUNK_ROWS = 4_000_000
 SLOTS = 4
 MAX_KICKS = 500
 #: Fixed value: white space that is stripped from a line's ends.
@@ -136,16 +141,40 @@ def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return common.map_slices(narrow, fn, "h1 long, h2 long, doc_id long")
 
 
+KEY = ["h1", "h2"]
+
+
+def counted(posted: DataFrame) -> DataFrame:
+    """The exact table of all keys of distinct postings: (h1, h2, refs, min_doc)."""
+    return posted.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("doc_id").alias("min_doc"))
+
+
 def references(posted: DataFrame) -> DataFrame:
-    """The exact table of keys with at least two documents: (h1, h2, refs, min_doc)."""
-    return posted.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc")).where("min_doc < max_doc").drop("max_doc")
+    """The part of the exact table with at least two documents, of postings that may repeat."""
+    return posted.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc")).where("min_doc < max_doc").drop("max_doc")
 
 
 def change_postings(posted: DataFrame, inserted: DataFrame | None = None, deleted_ids: DataFrame | None = None) -> DataFrame:
-    """Postings after documents have come (their postings) or gone (their ``doc_id``)."""
+    """Postings after documents have come (their postings, counted once however often they come) or gone (their ``doc_id``)."""
     if inserted is not None:
-        posted = posted.unionByName(inserted)
-    return posted if deleted_ids is None else posted.join(deleted_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id")
+        posted = posted.unionByName(inserted.distinct().join(posted, [*KEY, "doc_id"], "left_anti"))
+    return posted if deleted_ids is None else posted.join(deleted_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*KEY, "doc_id")
+
+
+def change_counts(counts: DataFrame, come: DataFrame, gone: DataFrame, after: DataFrame) -> DataFrame:
+    """The exact table after the postings ``come`` were added and ``gone`` taken away, which leaves those of ``after``."""
+    more = come.groupBy(*KEY).agg(F.count("*").alias("more"), F.min("doc_id").alias("new_min"))
+    less = gone.groupBy(*KEY).agg(F.count("*").alias("less"), F.min("doc_id").alias("gone_min"))
+    changed = more.join(less, KEY, "full").join(counts, KEY, "left")
+    changed = changed.select(
+        *KEY, (F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0)) - F.coalesce("less", F.lit(0))).alias("refs"), F.least("min_doc", "new_min").alias("min_doc"),
+        F.coalesce(F.col("gone_min") <= F.least("min_doc", "new_min"), F.lit(False)).alias("again"),
+    ).where("refs > 0")
+    changed = common.materialize(changed)
+    again = after.join(changed.where("again").select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("doc_id").alias("left_min"))
+    found = changed.join(again, KEY, "left").select(*KEY, "refs", F.when(F.col("again"), F.col("left_min")).otherwise(F.col("min_doc")).alias("min_doc"))
+    touched = more.select(*KEY).unionByName(less.select(*KEY))
+    return counts.join(touched, KEY, "left_anti").unionByName(found)
 
 
 def build_shards(refs: DataFrame, shards: int) -> DataFrame:
@@ -167,7 +196,7 @@ def update_shards(filters: DataFrame, added: DataFrame, removed: DataFrame, shar
         f = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter(max(64, ins.num_rows))
         f.delete(gone.column("h1").to_numpy(), gone.column("h2").to_numpy())
         if not f.insert(ins.column("h1").to_numpy(), ins.column("h2").to_numpy()):
-            raise OverflowError("the shard is full; build the shards anew from the reference table, with more of them")
+            raise OverflowError("the shard is full; build the index anew")
         at = (old if old.num_rows else new).column("shard")[0].as_py()
         return pa.table({"shard": pa.array([at], pa.int64()), "filter": pa.array([f.to_bytes()], pa.binary())})
 
@@ -180,13 +209,15 @@ def shard_count(refs: DataFrame) -> int:
     return max(1, -(-refs.count() // SHARD_KEYS))
 
 
-def probe(posted: DataFrame, refs: DataFrame) -> DataFrame:
-    """Postings that can be of a key in ``refs``, by the filters; all of them if the filters are too large to broadcast."""
-    shards = shard_count(refs)
+def _hits(f: CuckooFilter, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return f.contains(h1, h2) if len(h1) else np.zeros(0, dtype=bool)
+
+
+def probe(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """Postings that can be of a key in ``filters`` (shard, filter)."""
     if shards * SHARD_KEYS * 4 > FILTER_BYTES:
-        return posted
-    filters = dict(build_shards(refs, shards).collect())  # within FILTER_BYTES
-    shared = posted.sparkSession.sparkContext.broadcast(filters)
+        return probe_apart(posted, filters, shards)
+    shared = posted.sparkSession.sparkContext.broadcast(dict(filters.select("shard", "filter").collect()))  # within FILTER_BYTES
 
     def run(batches):
         held = {s: CuckooFilter.from_bytes(bytes(x)) for s, x in shared.value.items()}
@@ -196,16 +227,88 @@ def probe(posted: DataFrame, refs: DataFrame) -> DataFrame:
             shard = np.mod(h1, shards)
             for s, f in held.items():
                 at = np.flatnonzero(shard == s)
-                hit[at] = f.contains(h1[at], h2[at])
+                hit[at] = _hits(f, h1[at], h2[at])
             yield b.filter(pa.array(hit))
 
     return posted.mapInArrow(run, posted.schema)
 
 
+def probe_apart(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """``probe`` for filters of any size: each filter goes once to every chunk of its shard's postings, which stream past it."""
+    placed = posted.withColumn("shard", F.pmod("h1", F.lit(shards)))
+    chunks = placed.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("long").alias("chunks"))
+    copies = filters.join(chunks, "shard").select("shard", "filter", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    left = copies.select("shard", "chunk", "filter", *[F.lit(None).cast("long").alias(c) for c in (*KEY, "doc_id")])
+    right = placed.join(chunks, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), F.lit(None).cast("binary").alias("filter"), *KEY, "doc_id")
+    both = left.unionByName(right).repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", F.col("filter").isNull())
+
+    def run(batches):
+        held, of = None, None
+        for b in batches:
+            place = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            begin = [0, *(k for k in range(1, len(place)) if place[k] != place[k - 1])]
+            for s, e in zip(begin, [*begin[1:], len(place)], strict=True):
+                part = b.slice(s, e - s)
+                if part.column(2)[0].is_valid:
+                    held, of = CuckooFilter.from_bytes(part.column(2)[0].as_py()), place[s]
+                    part = part.slice(1)
+                if of == place[s] and part.num_rows:  # a shard without a filter has no shared key
+                    h1, h2 = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
+                    yield part.select([3, 4, 5]).filter(pa.array(_hits(held, h1, h2)))
+
+    return both.mapInArrow(run, "h1 long, h2 long, doc_id long")
+
+
+@dataclass(frozen=True)
+class LineIndex:
+    """Which documents hold which lines, in a form that documents can be put into and taken out of."""
+
+    posted: DataFrame
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+
+    @classmethod
+    def build(cls, posted: DataFrame) -> LineIndex:
+        posted = common.materialize(posted.distinct())
+        counts = common.materialize(counted(posted))
+        shards = shard_count(counts.where("refs > 1"))
+        return cls(posted, counts, common.materialize(build_shards(counts.where("refs > 1"), shards)), shards)
+
+    def insert(self, posted: DataFrame) -> LineIndex:
+        """With the postings of documents that come."""
+        come = common.materialize(posted.distinct().join(self.posted, [*KEY, "doc_id"], "left_anti"))
+        return self._changed(self.posted.unionByName(come), come, come.limit(0))
+
+    def delete(self, ids: DataFrame) -> LineIndex:
+        """Without the documents of ``ids(doc_id)``."""
+        gone = common.materialize(self.posted.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*KEY, "doc_id"))
+        return self._changed(change_postings(self.posted, deleted_ids=ids), gone.limit(0), gone)
+
+    def _changed(self, after: DataFrame, come: DataFrame, gone: DataFrame) -> LineIndex:
+        after = common.materialize(after)
+        counts = common.materialize(change_counts(self.counts, come, gone, after))
+        touched = come.unionByName(gone).select(*KEY).distinct()
+        was, now = (c.where("refs > 1").join(touched, KEY, "left_semi").select(*KEY) for c in (self.counts, counts))
+        shards = shard_count(counts.where("refs > 1"))
+        if shards > 2 * self.shards:  # the shards have become too large
+            return LineIndex(after, counts, common.materialize(build_shards(counts.where("refs > 1"), shards)), shards)
+        return LineIndex(after, counts, common.materialize(update_shards(self.filters, now.exceptAll(was), was.exceptAll(now), self.shards)), self.shards)
+
+    def drops(self) -> DataFrame:
+        """(doc_id, gone): the keys whose lines each document loses."""
+        return _drops(self.posted, self.counts.where("refs > 1"), self.filters, self.shards)
+
+
+def _drops(posted: DataFrame, refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    lost = probe(posted, filters, shards).join(refs.select(*KEY, "min_doc"), KEY).where("doc_id <> min_doc")
+    return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
+
+
 def drops(posted: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, gone): the hashes of the keys whose lines a document loses, sixteen bytes each."""
-    lost = probe(posted, refs).join(refs.select("h1", "h2", "min_doc"), ["h1", "h2"]).where("doc_id <> min_doc")
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    shards = shard_count(refs)
+    return _drops(posted, refs, build_shards(refs, shards), shards)
 
 
 def _gone(keys: list | None) -> set[bytes]:
