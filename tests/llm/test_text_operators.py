@@ -94,10 +94,54 @@ def test_packing(spark, texts):
     assert padding <= 0.02 * used
 
 
-@pytest.mark.parametrize("n", [1, 5, 47, 48, 100, 511, 512, 513, 700, 1000, 1017, 1023, 1024, 1025, 5000])
-def test_cuts_add_up(n):
-    got = packing.cuts(n)
-    assert sum(x for x, _ in got) == n and all(x * k <= 1024 for x, k in got)
+@pytest.mark.parametrize("lengths", ["short", "mixed", "long", "same", "tiny", "one", "none"])
+def test_harmonic_bins(lengths):
+    """Every token once, no padding; bins of k documents of class k and at most one that is cut to fill them, but for the last ones."""
+    rng = random.Random(4)
+    sizes = {
+        "short": lambda: rng.randrange(1, 1025), "mixed": lambda: int(rng.lognormvariate(5.5, 1.3)) + 1, "long": lambda: rng.randrange(1025, 9000), "same": lambda: 400, "tiny": lambda: rng.randrange(1, 6), "one": lambda: 1024,
+    }
+    docs = [] if lengths == "none" else [sizes[lengths]() for _ in range(4000)]
+    worker, rows = packing.Worker(3), []
+    for i, n in enumerate(docs):
+        rows += worker.add(i, bytes(4 * n))
+    before = len({r[5] for r in rows})
+    rows += worker.finish()
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r[0]].append(r)
+        bins[r[5]].append(r)
+    for i, n in enumerate(docs):
+        at = 0
+        for _, start, length, _, total, _, _ in sorted(pieces[i], key=lambda r: r[1]):
+            assert start == at and total == n
+            at += length
+        assert at == n
+    for held in bins.values():
+        used = sum(r[2] for r in held)
+        assert [r[6] for r in held] == [sum(x[2] for x in held[:k]) for k in range(len(held))] and (used == 1024 or used & (used - 1) == 0)
+    for k in sorted(bins)[:before]:
+        whole = [r for r in bins[k] if r[2] == docs[r[0]]]
+        ranks = {packing.harmonic(r[2]) for r in whole}
+        assert len(bins[k]) == 1 or any(sum(packing.harmonic(r[2]) == c for r in bins[k]) >= c for c in ranks | {packing.harmonic(r[2]) for r in bins[k]})
+    fits = [i for i, n in enumerate(docs) if n <= 1024]
+    if lengths in ("mixed", "same", "tiny", "one"):
+        assert sum(len(pieces[i]) == 1 for i in fits) >= 0.6 * len(fits)
+
+
+def test_packing_edges(spark):
+    """Null ids and repeated rows are packed each, equal lengths keep their order, and names of the result may be taken."""
+    rows = [(None, "a b", 1, 2.0), (5, "a b", 1, 2.0), (5, "a b", 1, 2.0), (6, None, 1, 2.0), (7, "word " * 20_000, 1, 2.0), (8, "ab1" * 40_000 + "<|endoftext|> x", 1, 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int, length double").coalesce(1)
+    got = packing.pack_documents(df, bpe.default_path()).collect()
+    total = defaultdict(int)
+    for r in got:
+        total[r.doc_id] += r.length
+    n = tokenizer("byte_bpe_50k.json")
+    sizes = [len(n.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _, _ in rows]
+    assert total == {None: sizes[0], 5: 2 * sizes[1], 6: 1, 7: sizes[4], 8: sizes[5]}
+    with pytest.raises(ValueError):
+        packing.pack_documents(df, bpe.default_path(), capacity=1000)
 
 
 def quality_by_hand(text):

@@ -1,12 +1,13 @@
 """Harmonic packing of documents into sequences of at most ``capacity`` tokens (operator 4).
 
-What is left of a document after its full sequences is cut into a few pieces whose lengths
-are reciprocal parts of the capacity, capacity / k, and a short tail.  A bin of class k is
-filled with exactly k pieces, so a bin of cut pieces has next to no padding; tails and
-lengths that fall just short of a reciprocal part go whole into the class of the next one.
-Each worker fills its own bins from its own rows, without a shuffle.  At its end a worker
-lays what its open bins hold end to end and cuts that at the capacity and then at powers of
-two, so that the last sequences need no padding either.
+Documents that fit into a sequence go whole, by harmonic classes: class k holds the lengths
+over capacity / (k + 1) and up to capacity / k, and its bins take exactly k of them.  What a
+bin has left is filled from one document more, which is cut there; longer documents, which have
+to be cut anyway, serve for that, and what they don't fill makes full sequences.  If bins wait
+for want of those, the documents of some are cut to fill the others.  Each worker fills its own
+bins from its own rows, without a shuffle.  At its end a worker lays what its open bins hold
+end to end and cuts that at the capacity and then at powers of two, so that the last sequences
+need no padding either.  Documents of equal length go to a bin in the order of the rows.
 
 A sequence id is the number of the partition times 2^40 plus a count, so the same split of
 the input gives the same ids when a lost task runs again.
@@ -18,25 +19,24 @@ table gives an empty table; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-import base64
 import json
+import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
 CAPACITY = 1024
-#: A remainder below this many tokens isn't cut any further.
-TAIL = 48
-#: A length goes whole into a class if it falls short of the class's part by at most this share.
-SLACK = 1 / 128
-#: Stretches between spaces whose ids one worker remembers.
-CACHE_ENTRIES = 300_000
-CACHE_CHARS = 48
+#: Tokens of documents that are being cut which a worker keeps to fill bins, and full bins that wait for them.
+RESERVE, WAITING = 16 * 1024, 256
+#: What is too long between white space for an encoder whose work grows with the square of it.
+LONG_RUN = re.compile(r"\S{4000}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -63,42 +63,18 @@ class Tokens:
         plain = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={s: len(ranks) + i for i, s in enumerate(special)})
         for s, i in special.items():
             ids[plain._special_tokens[s]] = i
-        self.packed = [ids.get(r, 0).to_bytes(4, "little") for r in range(len(ranks) + len(special))]
-        self.plain = plain
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        packed = self.packed
-        return b"".join([packed[r] for r in self.plain.encode(text, allowed_special=self.special, disallowed_special=())])
-
-    def _learn(self, chunk: str) -> bytes:
-        got = self._whole(" " + chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[chunk] = got
-        return got
+        if missing := [r for r in range(len(ranks) + len(special)) if r not in ids]:
+            raise ValueError(f"the vocabulary lacks {len(missing)} merged tokens")
+        self.ids = np.array([ids[r] for r in range(len(ranks) + len(special))], dtype="<u4")
+        self.plain, self.path = plain, path
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        A space between two characters that aren't white space begins a pre-token, so what
-        stands between such spaces can be encoded by itself.
-        """
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        known, out = self.known, [self._whole(first)]
-        if not first or first[-1].isspace():
-            return self._whole(text)
-        for chunk in rest:
-            got = known.get(chunk)
-            if got is None:
-                if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                    return self._whole(text)
-                got = self._learn(chunk)
-            out.append(got)
-        return b"".join(out)
+        """Ids as little-endian unsigned 32-bit integers."""
+        if LONG_RUN.search(text):  # its merges take the square of a run's length; the other encoder takes its length
+            from .bpe import load as linear
+
+            return linear(self.path).encode(text)
+        return self.ids[self.plain.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())].tobytes()
 
 
 @lru_cache(4)
@@ -106,28 +82,20 @@ def load(path: str) -> Tokens:
     return Tokens(path)
 
 
-def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(length, class) of the pieces of a document; class 1 fills a sequence."""
-    out = [(capacity, 1)] * (length // capacity)
-    left = length % capacity
-    while left:
-        whole = capacity // left  # as many pieces of this length fit into a bin
-        if left < TAIL or whole * left >= capacity * (1 - SLACK):
-            out.append((left, whole))
-            break
-        part = capacity >> (capacity // left).bit_length()  # the largest power-of-two part below it
-        part = part * 2 if part * 2 <= left else part
-        out.append((part, capacity // part))
-        left -= part
-    return out
+def harmonic(length: int, capacity: int = CAPACITY) -> int:
+    """The class of a length: how many documents of it a bin takes."""
+    return capacity // length
 
 
 class Worker:
-    """Bins of one worker: for each class, the pieces of the bin that is open."""
+    """Bins of one worker; a piece is (doc_id, start, its ids, tokens of the document)."""
 
     def __init__(self, partition: int, capacity: int = CAPACITY) -> None:
         self.capacity, self.next_id = capacity, partition << 40
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[tuple]] = {}  # the bin of each class that has less than its number of documents
+        self.waiting: deque[tuple[list[tuple], int]] = deque()  # bins with theirs, and the tokens that they have left
+        self.cut: deque[tuple] = deque()  # documents that fill them
+        self.spare = 0
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -137,19 +105,65 @@ class Worker:
         self.next_id += 1
 
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
-        """Rows of the bins that the document's pieces fill."""
-        total, start = len(ids) // 4, 0
-        for length, k in cuts(total, self.capacity):
-            held = self.open.setdefault(k, [])
-            held.append((doc_id, start, ids[4 * start : 4 * (start + length)], total))
-            start += length
-            if len(held) == k:
+        """Rows of the bins that the document fills."""
+        piece = doc_id, 0, memoryview(ids), len(ids) // 4  # cutting it copies nothing
+        if len(ids) // 4 > self.capacity:
+            yield from self._offer(piece)
+        else:
+            yield from self._place(piece)
+        while self.spare > RESERVE:
+            doc_id, start, ids, total = piece = self.cut.popleft()
+            self.spare -= min(len(ids) // 4, self.capacity)
+            if len(ids) // 4 > self.capacity:
+                yield from self._close([(doc_id, start, ids[: 4 * self.capacity], total)])
+                self.cut.appendleft((doc_id, start + self.capacity, ids[4 * self.capacity :], total))
+            else:
+                yield from self._place(piece)
+        while len(self.waiting) > WAITING:
+            yield from self._dissolve()
+
+    def _place(self, piece: tuple) -> Iterator[tuple]:
+        """Put a piece of at most the capacity into the bin of its class."""
+        k = harmonic(len(piece[2]) // 4, self.capacity)
+        held = self.open.setdefault(k, [])
+        held.append(piece)
+        if len(held) == k:
+            del self.open[k]
+            self.waiting.append((held, self.capacity - sum(len(p[2]) // 4 for p in held)))
+            yield from self._fill()
+
+    def _offer(self, piece: tuple) -> Iterator[tuple]:
+        self.cut.append(piece)
+        self.spare += len(piece[2]) // 4
+        yield from self._fill()
+
+    def _fill(self) -> Iterator[tuple]:
+        """Fill waiting bins from the documents that are being cut, both in the order of their coming."""
+        while self.waiting and (self.cut or not self.waiting[0][1]):
+            held, room = self.waiting.popleft()
+            if room:
+                doc_id, start, ids, total = self.cut.popleft()
+                n = min(room, len(ids) // 4)
+                held.append((doc_id, start, ids[: 4 * n], total))
+                room -= n
+                self.spare -= n
+                if 4 * n < len(ids):
+                    self.cut.appendleft((doc_id, start + n, ids[4 * n :], total))
+            if room:
+                self.waiting.appendleft((held, room))
+            else:
                 yield from self._close(held)
-                self.open[k] = []
+
+    def _dissolve(self) -> Iterator[tuple]:
+        """Cut the documents of the waiting bin that came last to fill the others."""
+        for piece in self.waiting.pop()[0]:
+            yield from self._offer(piece)
 
     def finish(self) -> Iterator[tuple]:
-        """Rows of what open bins still hold, laid end to end."""
-        rest = [p for k in sorted(self.open) for p in self.open.pop(k)]
+        """Rows of what bins still hold, laid end to end."""
+        while len(self.waiting) > 1:
+            yield from self._dissolve()
+        rest = [*self.cut, *(p for held, _ in self.waiting for p in held), *(p for k in sorted(self.open) for p in self.open[k])]
         left = sum(len(p[2]) // 4 for p in rest)
         rest.reverse()
         while left:
@@ -169,8 +183,8 @@ class Worker:
 
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row for each piece of each document, with its sequence and the place in it."""
-    if capacity < TAIL or capacity & (capacity - 1):
-        raise ValueError("the capacity has to be a power of two, and larger than a tail")
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("the capacity has to be a power of two")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         from pyspark import TaskContext
