@@ -17,8 +17,11 @@ original vectors in double precision.  Components are found over the links.
 The most frequent lengths of vectors have learned rotations (MAX_LENGTHS); vectors of any other
 length are projected on random directions seeded by the length, which each worker makes for itself.
 
-Links are counted, so the links within a group of near copies that aren't exact copies are
-each made; that is the size of the answer.  Hot buckets are split by the skew join.
+Vectors in the same bucket follow the one of theirs that comes first in a fixed random order, and
+those within half the threshold's angle of the vector they follow are a ball: all of them link
+with each other, so their links are counted by the ball's size and never made.  Other links are
+made, since they are counted; of two vectors that differ in a chunk, only the one with a 0 in the
+lowest differing bit looks the other up.  Hot buckets are split by the skew join.
 
 Rows: null vectors, vectors with a null or non-finite component, zero vectors and rows with a
 null id link with nothing (a null id has a null component and is kept); vectors of different
@@ -130,8 +133,45 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
 
 
-def candidate_links(reps: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b), a < b: distinct vectors whose cosine is at least the threshold, as the tables find them."""
+def cosine_at_least(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose vectors' cosine is at least ``least``, in double precision."""
+    left = reps.select(F.col("id").alias("a"), F.col("vec").alias("va"))
+    right = reps.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
+
+    def rerank(batches):
+        for batch in batches:
+            va, vb = batch.column(2), batch.column(3)
+            size, other = (np.array(pc.list_value_length(v).to_pylist(), dtype=np.int64) for v in (va, vb))
+            hit = np.zeros(len(size), dtype=bool)
+            for d in np.unique(size).tolist():
+                at = np.flatnonzero((size == d) & (other == d))
+                if len(at):
+                    x, y = matrix(va.take(pa.array(at)), d), matrix(vb.take(pa.array(at)), d)
+                    hit[at] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= least
+            yield batch.select([0, 1]).filter(pa.array(hit))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(rerank, "a long, b long")
+
+
+def balls(codes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(id, ball): vectors that all lie within half the threshold's angle of the vector ``ball``, which is one of them."""
+    keyed = codes.select("id", F.posexplode("code").alias("t", "c"), "d").select("id", F.xxhash64("t", "c", "d").alias("key"))
+    rank = lambda c: F.struct(F.xxhash64(F.lit(3), c).alias("r"), F.col(c).alias("v"))
+    lead = codes.select("id", F.col("id").alias("lead"))
+    for _ in range(2):  # the first of its buckets, then the first that those in its buckets follow
+        first = keyed.join(lead, "id").groupBy("key").agg(F.min(rank("lead")).alias("first"), F.count("*").alias("k")).where("k > 1")
+        lead = common.materialize(keyed.join(first, "key").groupBy("id").agg(F.min("first")["v"].alias("lead")))
+    half = math.sqrt((1 + threshold) / 2) + 1e-9  # beyond rounding
+    near = cosine_at_least(lead.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), reps, half)
+    near = common.materialize(near.select(F.col("b").alias("id"), F.col("a").alias("ball")))
+    # a vector that others follow is of their ball, and of no other
+    leads = near.select("ball").distinct()
+    members = near.join(leads.select(F.col("ball").alias("id")), "id", "left_anti")
+    return common.materialize(members.unionByName(leads.select(F.col("ball").alias("id"), "ball")))
+
+
+def candidate_links(reps: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b): distinct vectors whose cosine is at least the threshold, as the tables find them, but for those of one ball; (id, ball)."""
     spark = reps.sparkSession
     width, radius, tables = plan(n, threshold)
     lengths = [r[0] for r in reps.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(MAX_LENGTHS).collect()]
@@ -163,35 +203,23 @@ def candidate_links(reps: DataFrame, n: int, threshold: float) -> DataFrame:
                 far = np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p))).astype(np.int64)  # five deviations over what a pair at the threshold has
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([d] * len(at), pa.int32()), pa.array(list(code), pa.list_(pa.int64())), pa.array(far)], names=["id", "d", "code", "far"])
 
+    common.bounded_batches(spark)
     codes = common.materialize(reps.select("id", "vec").mapInArrow(encode, "id long, d int, code array<long>, far long"))
+    ball = balls(codes, reps, threshold)
+    codes = codes.join(ball, "id", "left")
     masks = [sum(1 << i for i in c) for k in range(radius + 1) for c in _choices(width, k)]
-    key = lambda c, m: F.shiftleft(F.col("t").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("d").cast("long"), 32)).bitwiseOR(c.bitwiseXOR(m))
-    each = lambda side: codes.select(F.col("id").alias(side), "d", F.col("code").alias(f"code_{side}"), F.col("far").alias(f"far_{side}"), F.posexplode("code").alias("t", "c"))
-    index = each("b").select(key(F.col("c"), F.lit(0).cast("long")).alias("key"), "b", "code_b", "far_b")
-    asked = each("a").select("a", "code_a", "far_a", "t", F.explode(F.array(*[key(F.col("c"), F.lit(m).cast("long")) for m in masks])).alias("key"))
+    key = lambda c: F.shiftleft(F.col("t").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("d").cast("long"), 32)).bitwiseOR(c)
+    each = lambda side: codes.select(F.col("id").alias(side), "d", *[F.col(c).alias(f"{c}_{side}") for c in ("code", "far", "ball")], F.posexplode("code").alias("t", "c"))
+    index = each("b").select(key(F.col("c")).alias("key"), "b", "code_b", "far_b", "ball_b")
+    mask = F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")
+    asked = each("a").select("a", "code_a", "far_a", "ball_a", "t", "d", "c", mask).where(F.col("c").bitwiseAND(F.col("mask").bitwiseAND(-F.col("mask"))) == 0).select("a", "code_a", "far_a", "ball_a", "t", "mask", key(F.col("c").bitwiseXOR(F.col("mask"))).alias("key"))
     near = lambda k: F.bit_count(F.col("code_a")[k].bitwiseXOR(F.col("code_b")[k]))
     far = F.greatest("far_a", "far_b")  # the shorter of two centred vectors bounds the angle between them
     first = F.lit(True)
     for k in range(tables - 1):
         first = first & ((F.col("t") <= k) | (near(k) > radius))
-    pairs = asked.join(index, "key").where("a < b").where(sum((near(k) for k in range(1, tables)), near(0)) <= far).where(first).select("a", "b")
-    left = reps.select(F.col("id").alias("a"), F.col("vec").alias("va"))
-    right = reps.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb")
-
-    def rerank(batches):
-        for batch in batches:
-            va, vb = batch.column(2), batch.column(3)
-            size, other = (np.array(pc.list_value_length(v).to_pylist(), dtype=np.int64) for v in (va, vb))
-            hit = np.zeros(len(size), dtype=bool)
-            for d in np.unique(size).tolist():
-                at = np.flatnonzero((size == d) & (other == d))
-                if len(at):
-                    x, y = matrix(va.take(pa.array(at)), d), matrix(vb.take(pa.array(at)), d)
-                    hit[at] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= threshold
-            yield batch.select([0, 1]).filter(pa.array(hit))
-
-    return both.mapInArrow(rerank, "a long, b long")
+    pairs = asked.join(index, "key").where("(mask > 0 or a < b) and not coalesce(ball_a = ball_b, false)").where(sum((near(k) for k in range(1, tables)), near(0)) <= far).where(first)
+    return cosine_at_least(pairs.select("a", "b"), reps, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ball
 
 
 def _choices(n: int, k: int):
@@ -208,10 +236,17 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     reps = common.materialize(good.select("id", "vec", "h1", "h2").join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"]).dropDuplicates(["id", "h1", "h2"]).select("id", "vec"))
     n = reps.count()
     sizes = classes.groupBy("rep").agg(F.sum("n").alias("n"))  # the same id with several vectors is one node
-    links = common.materialize(candidate_links(reps, n, threshold).distinct()) if n > 1 else df.sparkSession.createDataFrame([], "a long, b long")
+    if n > 1:
+        links, ball = candidate_links(reps, n, threshold)
+        links, _ = common.narrow(links.distinct())
+    else:
+        links, ball = (df.sparkSession.createDataFrame([], f"{a} long, {b} long") for a, b in (("a", "b"), ("id", "ball")))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    found = common.connected_components(links).withColumnsRenamed({"id": "rep"})
+    others = both.join(sizes.select(F.col("rep").alias("b"), "n"), "b").select(F.col("a").alias("rep"), "n")
+    held = ball.join(sizes.select(F.col("rep").alias("id"), "n"), "id")
+    within = held.join(held.groupBy("ball").agg(F.sum("n").alias("all")), "ball").select(F.col("id").alias("rep"), (F.col("all") - F.col("n")).alias("n"))
+    others = others.unionByName(within).groupBy("rep").agg(F.sum("n").alias("others"))
+    found = common.connected_components(links.unionByName(ball.select(F.col("ball").alias("a"), F.col("id").alias("b")))).withColumnsRenamed({"id": "rep"})
     node = (
         classes.join(others, "rep", "left").join(found, "rep", "left")
         .select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
