@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -292,9 +294,52 @@ def opentsdb_query(aggregator: str) -> Callable:
 
 
 def opentsdb_series(spark, sf_dir):
+    """The points of a response, a row each."""
     engine = events_engine(spark, sf_dir)
     df = opentsdb.query(engine, {"start": START, "end": START + STEP, "queries": [{"metric": "events", "aggregator": "none", "tags": {}}]})[0]
-    return df.select(F.col("tags")["event_type"].alias("event_type"), F.size("dps").cast("long").alias("points"))
+    return df.select(F.col("tags")["event_type"].alias("event_type"), F.explode("dps").alias("t", "v")).select("event_type", F.col("t").cast("long").alias("ts"), F.round("v", 6).alias("value"))
+
+
+def hours_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """A table in memory of sums by hour, with three series for each event type."""
+    engine = Engine(spark, root="memory")
+    columns = [ColumnMeta("ts", "timestamp"), ColumnMeta("event_type", "string", tag=True), ColumnMeta("grp", "string", tag=True), ColumnMeta("value", "double")]
+    engine.create(make_table("hours", columns, "ts", options={"update_mode": "APPEND", "enable_ttl": "false"}, engine="Memory"))
+    rows = engine.spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    by = [F.expr("unix_millis(cast(ts as timestamp)) div 3600000 * 3600000").alias("ts"), "event_type", (F.col("user_id") % 3).cast("string").alias("grp")]
+    engine.insert("hours", rows.groupBy(*by).agg(F.sum("value").alias("value")))
+    return engine
+
+
+_HOURS = "h as (select event_type, (user_id % 3)::varchar as grp, (epoch_us(ts) // 1000) // 3600000 * 3600000 as t, sum(value) as v from events group by 1, 2, 3)"
+
+
+def opentsdb_hours(aggregator: str, by_type: bool) -> Callable:
+    def run(spark, sf_dir):
+        filters = [{"type": "not_literal_or", "tagk": "event_type", "filter": "click|error", "groupBy": by_type}]
+        df, tags = opentsdb.sub_query(hours_engine(spark, sf_dir), {"metric": "hours", "aggregator": aggregator, "filters": filters}, START, START + 5 * STEP - 1)
+        return df.select(*tags, "ts", F.round("value", 6).alias("value"))
+
+    return run
+
+
+def _opentsdb_hours_sql(aggregate: str, by_type: bool) -> str:
+    return f"with {_HOURS} select {'event_type, ' if by_type else ''}t as ts, round({aggregate}, 6) as value from h where event_type not in ('click', 'error') and t between {START} and {START + 5 * STEP - 1} group by {'event_type, ' if by_type else ''}t"
+
+
+def prom_hours(text: str) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = promql.Evaluator(hours_engine(spark, sf_dir)).evaluate(promql.parse(text), START, END, STEP, lookback_ms=RANGE)
+        return out.drop("tsid").withColumn("value", F.round(F.col("value") + NUDGE, 4))
+
+    return run
+
+
+def _prom_hours_sql(function: str, aggregate: str) -> str:
+    """The values of each of the three series of a type, not rounded, then the aggregate over them."""
+    each = PROM_ORACLE[f"prom_{function}"].replace("s as (select event_type, (epoch_us(ts) // 1000) as t, value as v from events)", f"{_HOURS}, s as (select event_type || '/' || grp as event_type, t, v from h)")
+    each = each.replace("as ts, round(", "as ts, (").replace(", 6) as value", ") as value")
+    return f"select split_part(event_type, '/', 1) as event_type, ts, round({aggregate} + 0.0000001, 4) as value from ({each}) group by 1, 2"
 
 
 def influx(text: str) -> Callable:
@@ -305,23 +350,113 @@ def influx(text: str) -> Callable:
     return run
 
 
-_INFLUX_FROM = f"from events where event_type = 'click' and user_id < 20 and time >= {START}ms and time < {START + 2 * STEP}ms group by event_type, time(1h)"
-_BUCKETED = f"b as (select event_type, (epoch_us(ts) // 1000) // 3600000 * 3600000 as time, count(value) as count, round(avg(value), 6) as mean from events where event_type = 'click' and user_id < 20 and (epoch_us(ts) // 1000) >= {START} and (epoch_us(ts) // 1000) < {START + 2 * STEP} group by 1, 2), grid as (select event_type, unnest(generate_series(min(time), {START + 2 * STEP - 3_600_000}, 3600000)) as time from b group by event_type)"
+#: All events in five-minute buckets, which leaves gaps on the whole table.
+_BUCKET, _FIRST, _LAST = 300_000, 1_704_067_200_000, 1_706_745_600_000
+_INFLUX_FROM = f"from events where time >= {_FIRST}ms and time < {_LAST}ms group by event_type, time(5m)"
+_BUCKETED = f"b as (select event_type, (epoch_us(ts) // 1000) // {_BUCKET} * {_BUCKET} as time, count(value) as count, round(avg(value), 6) as mean from events where (epoch_us(ts) // 1000) >= {_FIRST} and (epoch_us(ts) // 1000) < {_LAST} group by 1, 2), grid as (select event_type, unnest(generate_series(min(time), {_LAST - _BUCKET}, {_BUCKET})) as time from b group by event_type)"
 
 
 def default_fill(spark, sf_dir):
-    """Defaults that refer to columns before them."""
-    df = read(spark, sf_dir, "events").select("event_id", "user_id")
-    return df.withColumn("c3", F.col("user_id") + 1).withColumn("c4", F.col("c3") + 1).withColumn("c5", F.col("c3") + 10)
+    """Rows of a table whose defaults refer to columns before them."""
+    engine = Engine(spark, root="memory")
+    engine.sql("CREATE TABLE d (ts timestamp NOT NULL TIMESTAMP KEY, event_id int64 TAG, user_id int64, c3 int64 DEFAULT user_id + 1, c4 int64 DEFAULT c3 + 1, c5 int64 DEFAULT c3 + 10) ENGINE=Memory")
+    engine.insert("d", engine.spark.read.parquet(os.path.join(sf_dir, "events.parquet")).select("ts", "event_id", "user_id"))
+    return engine.sql("SELECT event_id, user_id, c3, c4, c5 FROM d")
+
+
+def stored_engine(spark: SparkSession, now_ms: int | None = None) -> Engine:
+    """An engine over a new folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:  # a folder of this machine's only if the session is local
+        shared = tempfile.mkdtemp(prefix="tidemark-") if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else spark.conf.get("spark.sql.warehouse.dir")
+    return Engine(spark, root=f"{shared}/tidemark-{uuid.uuid4().hex}", now_ms=now_ms)
+
+
+def stored_events(spark, sf_dir, options: str, partitions: str = "", now_ms: int | None = None) -> Engine:
+    """Events in Parquet folders: series by event type and user."""
+    engine = stored_engine(spark, now_ms)
+    engine.sql(f"CREATE TABLE events (ts timestamp NOT NULL TIMESTAMP KEY, event_type string TAG, user_id int64 TAG, event_id int64, value double) {partitions} ENGINE=Analytic WITH ({options})")
+    engine.insert("events", engine.spark.read.parquet(os.path.join(sf_dir, "events.parquet")).select("ts", "event_type", "user_id", "event_id", "value"))
+    return engine
+
+
+_APPEND, _OVERWRITE = "update_mode='APPEND', enable_ttl='false', segment_duration='1d'", "update_mode='OVERWRITE', enable_ttl='false', segment_duration='1d'"
+
+
+def stored_pruned(spark, sf_dir):
+    """A scan that reads the partitions of two types and the segments of five days."""
+    engine = stored_events(spark, sf_dir, _APPEND, "PARTITION BY KEY(event_type) PARTITIONS 4")
+    return engine.sql(f"SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'view') AND ts >= {START} AND ts < {START + 5 * STEP}")
+
+
+def rewritten(spark, sf_dir) -> Engine:
+    """Every third event written once more, with another value."""
+    engine = stored_events(spark, sf_dir, _OVERWRITE)
+    again = engine.spark.read.parquet(os.path.join(sf_dir, "events.parquet")).where("event_id % 3 = 0")
+    engine.insert("events", again.select("ts", "event_type", "user_id", "event_id", (F.col("value") + 1).alias("value")))
+    return engine
+
+
+def stored_overwrite(spark, sf_dir):
+    return rewritten(spark, sf_dir).sql("SELECT event_id, event_type, value FROM events WHERE value > 20")
+
+
+def stored_compacted(spark, sf_dir):
+    engine = rewritten(spark, sf_dir)
+    engine.storage("events").compact()
+    return engine.storage("events").files().select("event_id", "event_type", "value")
+
+
+def stored_expired(spark, sf_dir):
+    """What a time to live of a week leaves on the way in."""
+    return stored_events(spark, sf_dir, "update_mode='APPEND', ttl='7d'", now_ms=END).sql("SELECT event_id, value FROM events")
+
+
+def stored_segments(spark, sf_dir):
+    """Rows by segment folder."""
+    files = stored_events(spark, sf_dir, "update_mode='APPEND', enable_ttl='false', segment_duration='2h'").storage("events").files()
+    return files.groupBy(F.col("__seg").alias("segment")).agg(F.count("*").alias("n"))
+
+
+def sub_tables(spark, sf_dir):
+    """Rows by partition, each read by its own name."""
+    engine = stored_events(spark, sf_dir, _APPEND, "PARTITION BY KEY(event_type) PARTITIONS 4")
+    parts = [engine.sql(f"SELECT event_type, count(*) AS n FROM __events_{k} GROUP BY event_type") for k in range(4)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def replayed_batch(spark, sf_dir):
+    """A micro-batch that arrives twice is in an append table once."""
+    engine = stored_engine(spark, _FIRST)  # before any of them expires
+    rows = engine.spark.read.parquet(os.path.join(sf_dir, "events.parquet")).select("ts", "event_type", "value")
+    for _ in range(2):
+        engine.ingest("events", rows, ["event_type"], "ts", batch=7)
+    return engine.storage("events").files().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def widened(spark, sf_dir):
+    """Rows with a new column widen the table; earlier rows have null there."""
+    engine = stored_engine(spark, _FIRST)
+    rows = engine.spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    engine.ingest("events", rows.where("event_id % 2 = 0").select("ts", "event_type", "value"), ["event_type"], "ts")
+    engine.ingest("events", rows.where("event_id % 2 = 1").select("ts", "event_type", "value", "user_id"), ["event_type"], "ts")
+    return engine.storage("events").files().groupBy("event_type").agg(F.count("*").alias("n"), F.count("user_id").alias("users"))
 
 
 def point_get(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where(F.col("o_orderkey") == 7).select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("total")).limit(1)
+    """The row of one full key."""
+    engine = rewritten(spark, sf_dir)
+    r = read(spark, sf_dir, "events").orderBy("event_id").select("event_type", "user_id", ms("ts").alias("t")).first()
+    return engine.storage("events").get({"ts": r.t, "event_type": r.event_type, "user_id": r.user_id}, ["event_id", "event_type", "value"])
+
+
+def system_tables(spark, sf_dir):
+    return events_engine(spark, sf_dir).tables_frame().select("table_name", "engine")
 
 
 def ordered_nulls(spark, sf_dir):
     engine = events_engine(spark, sf_dir)
-    return engine.sql("select event_type, n from (select event_type, nullif(count(*), 0) as n from events group by event_type) x order by n desc, event_type limit 3")
+    return engine.sql("select event_type, n, row_number() over (order by n desc, event_type) as place_desc, row_number() over (order by n, event_type) as place from (select event_type, case when event_type in ('click', 'view') then null else count(*) end as n from events group by event_type) x")
 
 
 def sort_series(spark, sf_dir):
@@ -384,13 +519,17 @@ def remote_read(spark, sf_dir):
     return got.select(F.col("labels")["event_type"].alias("event_type"), F.size("samples").cast("long").alias("samples"))
 
 
-def segments(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.floor(ms("ts") / 7_200_000).alias("segment")).agg(F.count("*").alias("n"))
-
-
 def tumbling_window(spark, sf_dir):
-    df = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return df.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_millis("w.start").alias("start"), "event_type", "n")
+    """Windows over a stream of the events, a micro-batch at a time."""
+    from .streaming.ingest import tumbling
+
+    s = engine_session(spark)
+    schema = s.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{uuid.uuid4().hex}"
+    counts = tumbling(stream, "ts", "6 hours", ["event_type"], "31 days", n=F.count("*"))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return s.table(name).select(F.unix_millis("window.start").alias("start"), "event_type", "n")
 
 
 def sampled_segment(spark, sf_dir):
@@ -417,6 +556,15 @@ def unique_label_ids(spark, sf_dir):
 
 _COLUMNS = "(values ('tsid', 'uint64', true, false, false, false), ('ts', 'timestamp', true, false, false, false), ('event_type', 'string', false, true, true, false), ('value', 'double', false, true, false, false), ('user_id', 'bigint', false, true, false, false)) v(name, type, is_primary, is_nullable, is_tag, is_dictionary)"
 
+# Ids of the series and of the labels of each event type, and the statement that SHOW CREATE gives.
+_TSIDS = "(values ('click', 2606309108263835678::decimal(20, 0)), ('error', 8301934417804265169), ('purchase', 6954070777726114427), ('signup', 13723314681852883564), ('view', 7377786435452759649)) v(event_type, tsid)"
+_LABEL_IDS = "(values ('click', 13769963711814939450::decimal(20, 0)), ('error', 4052093700403484909), ('purchase', 18320838279070871286), ('signup', 12677639013017360120), ('view', 7621984900216545533)) v(event_type, tsid)"
+_SHOWN = (
+    "CREATE TABLE `events` (`tsid` uint64 NOT NULL, `ts` timestamp NOT NULL, `event_type` string TAG, `value` double, `user_id` bigint, PRIMARY KEY(tsid,ts), TIMESTAMP KEY(ts)) ENGINE=Memory "
+    "WITH(arena_block_size='2097152', compaction_strategy='default', compression='ZSTD', enable_ttl='false', memtable_type='skiplist', num_rows_per_row_group='8192', segment_duration='', "
+    "storage_format='AUTO', ttl='7d', update_mode='APPEND', write_buffer_size='33554432')"
+).replace("'", "''")
+
 FRAMES: dict[str, tuple[Callable, str | None]] = {
     **{k: (buckets(p), o) for k, (p, o) in BUCKETS.items()},
     "date_bin_15m": (date_bin_15m, "select (epoch_us(ts) // 1000) // 900000 * 900000 as bucket, count(*) as n, round(max(value), 4) as top from events group by 1"),
@@ -431,7 +579,7 @@ FRAMES: dict[str, tuple[Callable, str | None]] = {
     "append_scan_filter": (append_scan_filter, "select user_id, value, event_type from events where value > 20 and event_type = 'click' and (epoch_us(ts) // 1000) >= 1704844800000 and (epoch_us(ts) // 1000) < 1705276800000"),
     "engine_sql_bucket": (engine_sql_bucket, BUCKETS["ts_bucket_hour"][1]),
     "engine_sql_integer_division": (engine_sql_integer_division, "select user_id // 7 as d, count(*) as n from events where regexp_matches(event_type, '^(cl|vi)') group by 1"),
-    "tsid_generation": (series_ids, None),
+    "tsid_generation": (series_ids, f"select event_type, count(*) as n, tsid from events join {_TSIDS} using (event_type) group by event_type, tsid"),
     "key_partition_prune": (key_partition_prune, "select event_type, user_id, value from events where event_type in ('click', 'view')"),
     "thetasketch_distinct": (thetasketch, None),
     "thetasketch_merge": (sketch_merge, None),
@@ -440,6 +588,8 @@ FRAMES: dict[str, tuple[Callable, str | None]] = {
     "prom_instant": (prom("events"), PROM_ORACLE["prom_instant"]),
     **{f"prom_{f}": (prom(f"{f}(events[2d])"), PROM_ORACLE[f"prom_{f}"]) for f in promql.FUNCTIONS},
     "prom_sum_by": (prom("sum by (event_type) (delta(events[2d]))"), PROM_ORACLE["prom_delta"]),
+    **{f"prom_{a}_by_two_tags": (prom_hours(f"{a} by (event_type) ({f}(hours[2d]))"), _prom_hours_sql(f, f"{a}(value)")) for a, f in (("sum", "delta"), ("avg", "rate"), ("min", "increase"), ("max", "idelta"))},
+    "prom_count_by_two_tags": (prom_hours("count by (event_type) (hours)"), _prom_hours_sql("instant", "count(value)::double")),
     "prom_max_without": (prom("max without (event_type) (rate(events[2d]))"), f"select ts, max(value) as value from ({PROM_ORACLE['prom_rate']}) group by ts"),
     "prom_offset_matcher": (
         prom('idelta(events{event_type=~"cl.*|view"}[2d] offset 1d)'),
@@ -447,7 +597,24 @@ FRAMES: dict[str, tuple[Callable, str | None]] = {
     ),
     "opentsdb_sum": (opentsdb_query("sum"), f"select event_type, (epoch_us(ts) // 1000) as ts, round(sum(value), 6) as value from events where event_type in ('click', 'view') and (epoch_us(ts) // 1000) between {START} and {START + 5 * STEP - 1} group by all"),
     "opentsdb_none": (opentsdb_query("none"), f"select event_type, (epoch_us(ts) // 1000) as ts, round(value, 6) as value from events where event_type in ('click', 'view') and (epoch_us(ts) // 1000) between {START} and {START + 5 * STEP - 1}"),
-    "opentsdb_response": (opentsdb_series, f"select event_type, count(distinct (epoch_us(ts) // 1000)) as points from events where (epoch_us(ts) // 1000) between {START} and {START + STEP} group by 1"),
+    "opentsdb_response": (opentsdb_series, f"select event_type, (epoch_us(ts) // 1000) as ts, round(value, 6) as value from events where (epoch_us(ts) // 1000) between {START} and {START + STEP}"),
+    **{f"opentsdb_{a}_by_tag": (opentsdb_hours(a, True), _opentsdb_hours_sql(q, True)) for a, q in (("sum", "sum(v)"), ("avg", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("count", "count(v)::double"), ("dev", "stddev_samp(v)"))},
+    "opentsdb_sum_no_tags": (opentsdb_hours("sum", False), _opentsdb_hours_sql("sum(v)", False)),
+    "stored_pruned": (stored_pruned, f"select event_id, event_type, value from events where event_type in ('click', 'view') and epoch_us(ts) // 1000 >= {START} and epoch_us(ts) // 1000 < {START + 5 * STEP}"),
+    "stored_overwrite": (stored_overwrite, "select event_id, event_type, v as value from (select *, case when event_id % 3 = 0 then value + 1 else value end as v from events) where v > 20"),
+    "stored_compacted": (stored_compacted, "select event_id, event_type, case when event_id % 3 = 0 then value + 1 else value end as value from events"),
+    "stored_expired": (stored_expired, f"select event_id, value from events where epoch_us(ts) // 1000 >= {END} - 604800000"),
+    "stored_sub_tables": (sub_tables, "select event_type, count(*) as n from events group by 1"),
+    "stored_replayed_batch": (replayed_batch, "select event_type, count(*) as n from events group by 1"),
+    "stored_widened": (widened, "select event_type, count(*) as n, count(*) filter (where event_id % 2 = 1) as users from events group by 1"),
+    "s11_system_tables": (system_tables, "select 'events' as table_name, 'Memory' as engine"),
+    "influx_fill_linear": (
+        influx(f"select mean(value) {_INFLUX_FROM} fill(linear)"),
+        f"""with {_BUCKETED}, f as (select g.time, g.event_type, b.mean as m, last_value(case when b.mean is not null then g.time end ignore nulls) over p as t0, last_value(b.mean ignore nulls) over p as v0, first_value(case when b.mean is not null then g.time end ignore nulls) over n as t1, first_value(b.mean ignore nulls) over n as v1
+        from grid g left join (select event_type, (epoch_us(ts) // 1000) // {_BUCKET} * {_BUCKET} as time, avg(value) as mean from events group by 1, 2) b on g.time = b.time and g.event_type = b.event_type
+        window p as (partition by g.event_type order by g.time rows unbounded preceding), n as (partition by g.event_type order by g.time rows between current row and unbounded following))
+        select time, event_type, round(coalesce(m, v0 + (v1 - v0) * (time - t0) / (t1 - t0)), 6) as mean from f""",
+    ),
     "influx_count_fill_null": (influx(f"select count(value) {_INFLUX_FROM}"), f"with {_BUCKETED} select g.time, g.event_type, b.count from grid g left join b on g.time = b.time and g.event_type = b.event_type"),
     "influx_fill_const": (influx(f"select mean(value) {_INFLUX_FROM} fill(666)"), f"with {_BUCKETED} select g.time, g.event_type, coalesce(b.mean, 666) as mean from grid g left join b on g.time = b.time and g.event_type = b.event_type"),
     "influx_fill_none": (influx(f"select count(value) {_INFLUX_FROM} fill(none)"), f"with {_BUCKETED} select time, event_type, count from b"),
@@ -461,21 +628,22 @@ FRAMES: dict[str, tuple[Callable, str | None]] = {
     ),
     "influx_group_by_tag": (influx("select count(value), max(value), min(value) from events group by event_type"), "select 0::bigint as time, event_type, count(value) as count, round(max(value), 6) as max, round(min(value), 6) as min from events group by event_type"),
     "u5_describe": (described("DESCRIBE TABLE events"), f"select * from {_COLUMNS}"),
+    "u7_show_databases": (described("SHOW DATABASES"), "select 'public' as Schemas"),
     "u6_show_tables": (described("SHOW TABLES LIKE 'ev%'"), "select 'events' as Tables"),
     "u9_exists": (described("EXISTS TABLE events"), "select 1::int as result"),
-    "u8_show_create": (described("SHOW CREATE TABLE events"), None),
+    "u8_show_create": (described("SHOW CREATE TABLE events"), f"select 'events' as \"Table\", '{_SHOWN}' as \"Create Table\""),
     "u10_explain": (described("EXPLAIN SELECT count(*) FROM events WHERE ts > 1704412800000"), None),
     "k1_insert_defaults": (inserted, "select * from (values ('a', 10::bigint, 'x', 11::bigint, 22::bigint, null::double), ('b', 20, 'x', 21, 42, null), ('a', 30, 'x', 5, 10, null)) v(host, c1, c2, c3, c4, extra)"),
     "k5_line_protocol": (line_protocol, "select event_type, count(*) as n, round(sum(value), 2) as total, max(epoch_us(ts) // 1000) as last from events group by 1"),
     "p13_remote_read": (remote_read, f"select event_type, count(*) as samples from events where event_type <> 'view' and epoch_us(ts) // 1000 between {START} and {START + STEP} group by 1"),
-    "p12_unique_id": (unique_label_ids, None),
-    "k10_segments": (segments, "select epoch_us(ts) // 1000 // 7200000 as segment, count(*) as n from events group by 1"),
+    "p12_unique_id": (unique_label_ids, f"select event_type, count(*) as n, tsid from events join {_LABEL_IDS} using (event_type) group by event_type, tsid"),
+    "k10_segments": (stored_segments, "select epoch_us(ts) // 1000 // 7200000 as segment, count(*) as n from events group by 1"),
     "r5_tumbling_window": (tumbling_window, "select epoch_us(ts) // 1000 // 21600000 * 21600000 as start, event_type, count(*) as n from events group by 1, 2"),
-    "d8_segment_sampler": (sampled_segment, None),
-    "d9_key_sampler": (sampled_key, None),
+    "d8_segment_sampler": (sampled_segment, "with g as (select (epoch_us(ts) // 1000) - lag(epoch_us(ts) // 1000) over (partition by event_type order by ts) as gap from events), s as (select quantile_disc(gap, 0.9) * 100 as span from g where gap > 0) select min(ms)::bigint as segment_ms from (select unnest([2, 24, 168, 720, 4320, 8640, 43200, 86400])::bigint * 3600000 as ms), s where ms > span"),
+    "d9_key_sampler": (sampled_key, "select * from (values (0::int, 'event_type'), (1, 'user_id'), (2, 'tsid'), (3, 'ts')) v(place, name)"),
     "default_fill": (default_fill, "select event_id, user_id, user_id + 1 as c3, user_id + 2 as c4, user_id + 11 as c5 from events"),
-    "point_get": (point_get, "select o_orderkey, o_custkey, round(o_totalprice, 2) as total from orders where o_orderkey = 7"),
-    "o1_order_nulls": (ordered_nulls, "select event_type, count(*) as n from events group by 1 order by n desc, event_type limit 3"),
+    "point_get": (point_get, "select event_id, event_type, case when event_id % 3 = 0 then value + 1 else value end as value from events where event_id = (select min(event_id) from events)"),
+    "o1_order_nulls": (ordered_nulls, "select event_type, n, row_number() over (order by n desc nulls first, event_type)::int as place_desc, row_number() over (order by n nulls last, event_type)::int as place from (select event_type, case when event_type in ('click', 'view') then null else count(*) end as n from events group by 1)"),
     "o3_sort_series": (sort_series, "select event_type, (epoch_us(ts) // 1000) as t, value from events"),
     "x_functions_without_twin": (scalar_twins, "select o_orderkey, gcd(o_orderkey, o_custkey) as g, lcm(o_orderkey % 100 + 1, o_custkey % 100 + 1) as l, (o_orderkey % 2 = 0) as even, printf('%x', o_orderkey) as h, trunc(o_totalprice * 10.0) / 10.0 as t from orders"),
     "bench_minute_top": (segment_top, f"select (epoch_us(ts) // 1000) // 60000 * 60000 as minute, user_id, max(value) as top from events where (epoch_us(ts) // 1000) >= {START} and (epoch_us(ts) // 1000) < {START + 12 * 3_600_000} and user_id between 1 and 8 group by 1, 2"),

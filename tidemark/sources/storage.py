@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ class Folder:
     """Small files beside the data, in any store that Arrow's file systems reach."""
 
     def __init__(self, root: str) -> None:
-        self.root = root.rstrip("/")
+        self.root = re.sub("^file:/+", "file:///", root.rstrip("/"))
         self._fs, self._base = fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("/") else os.path.abspath(self.root))
 
     def path(self, name: str) -> str:
