@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddup, jaccard, langid, linededup, packing, pii, quality, tokencount, urlfilter
+from . import bpe, embeddup, jaccard, langid, linededup, oracles, packing, pii, quality, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlfilter.ORACLE, "op8_line_dedup": linededup.ORACLE}
+    return {"op5_quality": oracles.quality_sql(), "op6_url_filter": urlfilter.ORACLE, "op7_ngram_jaccard": oracles.JACCARD, "op8_line_dedup": linededup.ORACLE, "op10_embedding_dedup": oracles.EMBEDDINGS}
