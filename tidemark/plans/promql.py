@@ -6,10 +6,11 @@ The step grid is never joined: each sample is copied to the grid points whose wi
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -165,15 +166,49 @@ def parse(text: str):
 # ---- evaluation ---------------------------------------------------------------------------
 
 
-def align(samples: DataFrame, by: list[str], grid: Grid, window_ms: int, ts: str = "ts", value: str = "value") -> DataFrame:
-    """(by..., k, samples): for each grid point the window's samples [t - window, t], by time."""
-    t = F.col(ts)
-    low = F.greatest(F.lit(0), F.ceil((t - grid.start) / grid.step)).cast("long")
-    high = F.least(F.lit(grid.points - 1), F.floor((t + window_ms - grid.start) / grid.step)).cast("long")
-    near = samples.where((t >= grid.start - window_ms) & (t <= grid.end) & F.col(value).isNotNull())
-    each = near.withColumn("__low", low).withColumn("__high", high).where("__low <= __high")
-    each = each.withColumn("k", F.explode(F.sequence("__low", "__high")))
-    return each.groupBy(*by, "k").agg(F.array_sort(F.collect_list(F.struct(t.alias("ts"), F.col(value).cast("double").alias("v")))).alias("samples"))
+def tiles(samples: DataFrame, by: list[str], grid: Grid, window_ms: int, ts: str = "ts", value: str = "value") -> DataFrame:
+    """(by..., tile, first, last, drops, n): what the samples between the ends of windows, or at one, come to.
+
+    Ends of windows are multiples of ``width`` from the grid's start; tile 2j is the end j itself and
+    2j + 1 what lies between the ends j and j + 1.  A window is a run of tiles, so samples are ordered
+    and reduced within their tile alone, however many windows hold it.  ``first`` and ``last`` are
+    structs of the tile's outer samples, the latter with the one before it; a drop is a value that a lower one follows.
+    """
+    width = math.gcd(grid.step, window_ms)
+    t, v = F.col(ts).cast("long"), F.col(value).cast("double")
+    j = F.floor((t - grid.start) / width)
+    near = samples.where((t >= grid.start - window_ms) & (t <= grid.end) & v.isNotNull())
+    near = near.select(*by, t.alias("ts"), v.alias("v"), (2 * j + F.when((t - grid.start) % width == 0, 0).otherwise(1)).cast("long").alias("tile"))
+    order = Window.partitionBy(*by, "tile").orderBy("ts", "v")
+    near = near.withColumn("before", F.lag(F.struct("ts", "v")).over(order))
+    drop = F.when(F.col("v") < F.col("before.v"), F.col("before.v")).otherwise(0.0)
+    place = F.struct("ts", "v")
+    return near.groupBy(*by, "tile").agg(F.min(place).alias("first"), F.max(F.struct("ts", "v", "before")).alias("last"), F.sum(drop).alias("drops"), F.count("*").alias("n"))
+
+
+def windows(samples: DataFrame, by: list[str], grid: Grid, window_ms: int, ts: str = "ts", value: str = "value") -> DataFrame:
+    """(by..., k, first, last, before, drops, n): for each grid point the samples of [t - window, t]; points without any are left out.
+
+    Frames over the tiles of a series, of which there are as many as its time has ends, whatever its samples.
+    """
+    width = math.gcd(grid.step, window_ms)
+    found = tiles(samples, by, grid, window_ms, ts, value)
+    order = Window.partitionBy(*by).orderBy("tile")
+    behind = F.lag("last").over(order)
+    found = found.withColumn("across", F.when(F.col("first.v") < behind["v"], behind["v"]).otherwise(0.0))
+    found = found.withColumn("before", F.coalesce(F.col("last.before"), F.struct(behind["ts"].alias("ts"), behind["v"].alias("v"))))
+    ends = 2 * (grid.step // width)  # tiles from one grid point to the next
+    span = 2 * (window_ms // width)
+    low = F.greatest(F.lit(0), F.ceil(F.min("tile") / ends)).cast("long")
+    high = F.least(F.lit(grid.points - 1), F.floor((F.max("tile") + span) / ends)).cast("long")
+    points = found.groupBy(*by).agg(low.alias("low"), high.alias("high")).where("low <= high").select(*by, F.explode(F.sequence("low", "high")).alias("k"))
+    points = points.withColumn("tile", F.col("k") * ends)
+    frame = Window.partitionBy(*by).orderBy("tile").rangeBetween(-span, 0)
+    head, tail = F.struct("first", "across"), F.struct("last", "before")
+    both = found.select(*by, "tile", F.lit(None).cast("long").alias("k"), head.alias("head"), tail.alias("tail"), (F.col("drops") + F.col("across")).alias("drops"), "n")
+    both = both.unionByName(points, allowMissingColumns=True)
+    both = both.select(*by, "k", F.first("head", True).over(frame).alias("head"), F.last("tail", True).over(frame).alias("tail"), F.sum("drops").over(frame).alias("drops"), F.sum("n").over(frame).alias("n"))
+    return both.where("k is not null and n > 0").select(*by, "k", "head.first", "tail.last", "tail.before", (F.col("drops") - F.col("head.across")).alias("drops"), "n")
 
 
 def instant(samples: DataFrame, by: list[str], grid: Grid, lookback_ms: int = LOOKBACK_MS, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -186,13 +221,10 @@ def instant(samples: DataFrame, by: list[str], grid: Grid, lookback_ms: int = LO
     return last.select(*by, (F.col("k") * grid.step + grid.start).alias("ts"), "value")
 
 
-def window_value(name: str, samples: Column, t: Column, range_ms: int) -> Column:
-    """A range function over a window's samples."""
-    n = F.size(samples) - 1
-    at = lambda i: F.element_at(samples, i)
-    first, last = at(1), at(-1)
+def window_value(name: str, t: Column, range_ms: int) -> Column:
+    """A range function over what ``windows`` tells of a window that ends at ``t``."""
+    first, last, before, n = F.col("first"), F.col("last"), F.col("before"), F.col("n") - 1
     if name in ("irate", "idelta"):
-        before = at(-2)
         if name == "idelta":
             got = last["v"] - before["v"]
         else:
@@ -201,8 +233,7 @@ def window_value(name: str, samples: Column, t: Column, range_ms: int) -> Column
     counter = name in ("rate", "increase")
     diff = last["v"] - first["v"]
     if counter:  # a drop is a reset: the value before it is added
-        drops = F.aggregate(F.sequence(F.lit(2), n + 1), F.lit(0.0), lambda acc, i: acc + F.when(at(i)["v"] < at(i - 1)["v"], at(i - 1)["v"]).otherwise(0.0))
-        diff = diff + drops
+        diff = diff + F.col("drops")
     length = (last["ts"] - first["ts"]).cast("double")
     average = length / n
     head, tail = (first["ts"] - (t - range_ms)).cast("double"), (t - last["ts"]).cast("double")
@@ -218,8 +249,8 @@ def window_value(name: str, samples: Column, t: Column, range_ms: int) -> Column
 def range_function(name: str, samples: DataFrame, by: list[str], grid: Grid, range_ms: int, ts: str = "ts", value: str = "value") -> DataFrame:
     """(by..., ts, value) of a range function; grid points without a value are left out."""
     t = F.col("k") * grid.step + grid.start
-    windows = align(samples, by, grid, range_ms, ts, value).where(F.size("samples") >= (3 if name in ("irate", "idelta") else 2))
-    return windows.select(*by, t.alias("ts"), window_value(name, F.col("samples"), t, range_ms).alias("value"))
+    found = windows(samples, by, grid, range_ms, ts, value).where(F.col("n") >= (3 if name in ("irate", "idelta") else 2))
+    return found.select(*by, t.alias("ts"), window_value(name, t, range_ms).alias("value"))
 
 
 def field_of(meta: TableMeta, matchers: tuple) -> str:
