@@ -318,3 +318,63 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == counts[3]
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.select("doc_id").distinct().count() == counts[3] and sorted(got.columns) == sorted(docs.columns)
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Each stage of the pipeline on what the one before left, against plain versions; nulls, empty, long and repeated texts, columns with names of the stages' own."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import bpe, langid
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghinrst") for _ in range(rng.randrange(3, 9)))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(word() for _ in range(60)) + "\nthis line is in many of the documents" for _ in range(25)] + near_copies(rng, base, 12, 10) + [" ".join(base)] * 3
+    texts += [f"{word()} {word()} write to {word()}@example.org or 10.1.2.3 {word()}", " ".join(word() for _ in range(30_000)), None, "", "12 34", "x\n\nx"]
+    rows = [(i, t, rng.choice(["en", "de", None]), None if i % 7 else "s", "g", 1.5, True, -i) for i, t in enumerate(texts)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gone string, label double, task boolean, id long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = langid.train(docs)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/out/{name}")
+        out = spark.read.parquet(f"{tmp_path}/out/{name}")
+        had = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        if name != "packing":
+            assert out.columns == columns and all(r.id == -r.doc_id and (r.gone, r.label, r.task) == ("g", 1.5, True) for r in out.collect())
+            got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        if name == "language_id":
+            judged = {(r.doc_id, r.rejected) for r in langid.identify(docs, model).collect()}
+            assert {i for i, _ in got} == {i for i, rejected in judged if not rejected} and len(got) >= 40 and not {i for i, t in had if t in (None, "", "12 34")} & {i for i, _ in got}
+        elif name == "line_dedup":
+            assert [(i, t or "") for i, t in got] == sorted(((i, t) for i, _, _, t in dedup_by_hand(had)), key=str)
+        elif name == "ngram_jaccard":
+            sets = [grams(t) for _, t in had]
+            links = [(a, b) for a in range(len(had)) for b in range(a) if had[a][0] == had[b][0] or sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            group = union_find(len(had), links)
+            least = {g: min(had[k][0] for k in range(len(had)) if group[k] == g) for g in group}
+            assert got == [x for k, x in enumerate(had) if x[0] == least[group[k]]] and len(got) <= len(had) - 8
+        elif name == "pii":
+            mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|10\.1\.2\.3")
+            assert len(got) == len(had) and not any(mail.search(t or "") for _, t in got) and any("[EMAIL]" in (t or "") and "[IP]" in t for _, t in got)
+            assert all(a == b for a, b in zip(had, got, strict=True) if not mail.search(a[1] or ""))
+        else:
+            t = Tokenizer.from_file(bpe.default_path())
+            t.no_truncation()
+            t.no_padding()
+            total = {}
+            for r in out.collect():
+                total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+            want = {}
+            for i, x in had:
+                want[i] = want.get(i, 0) + len(t.encode(x or "", add_special_tokens=False).ids) + 1
+            assert total == want
+        docs = out
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

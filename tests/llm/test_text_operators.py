@@ -266,6 +266,17 @@ def test_trie_prefers_longer_rules():
     assert urlfilter.longest(root, "c.com", "/") == ("com/", "block") and urlfilter.longest(root, "b.com", "") == ("b.com", "block") and urlfilter.longest(root, "c.com", "") is None
 
 
+def test_url_edges(spark):
+    """An empty table, rules that tie in length (the order of the table doesn't matter), and a very long path."""
+    empty = spark.createDataFrame([], "page_id long, url string")
+    rules = [("a.org", "/x", "block"), ("a.org", "/y", "allow"), ("org", "/x/y/z", "allow")]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    assert urlfilter.filter_urls(empty, table).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.org/x/y/z"), (2, "http://a.org/y"), (3, "http://b.org/x/y/z/" + "q/" * 20_000), (3, "http://b.org/x/y/z/" + "q/" * 20_000)], "page_id long, url string")
+    got = [sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, t).collect()) for t in (table, spark.createDataFrame(rules[::-1], table.schema))]
+    assert got[0] == got[1] == [(1, "a.org/x", "block"), (2, "a.org/y", "allow"), (3, "org/x/y/z", "allow"), (3, "org/x/y/z", "allow")]
+
+
 def luhn(d):
     return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(d[::-1])) % 10 == 0
 
