@@ -459,6 +459,10 @@ def ordered_nulls(spark, sf_dir):
     return engine.sql("select event_type, n, row_number() over (order by n desc, event_type) as place_desc, row_number() over (order by n, event_type) as place from (select event_type, case when event_type in ('click', 'view') then null else count(*) end as n from events group by event_type) x")
 
 
+def arrow_functions(spark, sf_dir):
+    return events_engine(spark, sf_dir).sql("select user_id, arrow_typeof(user_id) as a, arrow_typeof(value) as b, arrow_typeof(event_type) as c, arrow_typeof(ts) as d, arrow_cast(value, 'Int64') as v, arrow_cast(user_id, 'Utf8') as s, array_ndims(make_array(make_array(user_id))) as n, value ilike '%1%' as one, (value > 20) is not true as small from events")
+
+
 def sort_series(spark, sf_dir):
     return events_engine(spark, sf_dir).scan("events").orderBy(F.asc_nulls_first("tsid"), F.asc_nulls_first("ts")).select("event_type", ms("ts").alias("t"), "value")
 
@@ -644,6 +648,8 @@ FRAMES: dict[str, tuple[Callable, str | None]] = {
     "default_fill": (default_fill, "select event_id, user_id, user_id + 1 as c3, user_id + 2 as c4, user_id + 11 as c5 from events"),
     "point_get": (point_get, "select event_id, event_type, case when event_id % 3 = 0 then value + 1 else value end as value from events where event_id = (select min(event_id) from events)"),
     "o1_order_nulls": (ordered_nulls, "select event_type, n, row_number() over (order by n desc nulls first, event_type)::int as place_desc, row_number() over (order by n nulls last, event_type)::int as place from (select event_type, case when event_type in ('click', 'view') then null else count(*) end as n from events group by 1)"),
+    "x_arrow_functions": (arrow_functions, "select user_id, 'Int64' as a, 'Float64' as b, 'Utf8' as c, 'Timestamp(Millisecond, None)' as d, trunc(value)::bigint as v, user_id::varchar as s, 2::int as n, value::varchar ilike '%1%' as one, (value > 20) is not true as small from events"),
+    "a9_approx_median": (lambda spark, sf_dir: events_engine(spark, sf_dir).sql("select event_type, round(approx_median(value), 6) as m from events group by event_type"), "select event_type, round(quantile_cont(value, 0.5), 6) as m from events group by 1"),
     "o3_sort_series": (sort_series, "select event_type, (epoch_us(ts) // 1000) as t, value from events"),
     "x_functions_without_twin": (scalar_twins, "select o_orderkey, gcd(o_orderkey, o_custkey) as g, lcm(o_orderkey % 100 + 1, o_custkey % 100 + 1) as l, (o_orderkey % 2 = 0) as even, printf('%x', o_orderkey) as h, trunc(o_totalprice * 10.0) / 10.0 as t from orders"),
     "bench_minute_top": (segment_top, f"select (epoch_us(ts) // 1000) // 60000 * 60000 as minute, user_id, max(value) as top from events where (epoch_us(ts) // 1000) >= {START} and (epoch_us(ts) // 1000) < {START + 12 * 3_600_000} and user_id between 1 and 8 group by 1, 2"),
