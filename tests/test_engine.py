@@ -240,3 +240,44 @@ def test_meta_survives_json(engine):
     meta = engine.meta("j")
     assert type(meta).from_json(json.loads(json.dumps(meta.to_json()))) == meta
     assert isinstance(engine.storage("j"), Storage)
+
+
+def test_batches_are_written_once(spark, engine):
+    df = spark.createDataFrame([(1_700_000_000_000, "a", 1.0), (1_700_000_000_000, "b", 2.0)], "timestamp long, n string, v double").withColumn("timestamp", F.timestamp_millis("timestamp"))
+    engine.now_ms = 1_700_000_000_000
+    for _ in range(2):
+        engine.ingest("w", df, ["n"], batch=5)
+    storage = engine.storage("w")
+    assert storage.files().count() == 2
+    storage.folder.delete("_batches/5.done")  # as if the writer had died after its files were there
+    engine.ingest("w", df, ["n"], batch=5)
+    assert storage.files().count() == 2 and storage.folder.exists("_batches/5.done")
+    engine.ingest("w", df, ["n"], batch=6)
+    assert storage.files().count() == 4
+
+
+def test_compaction_is_one_step(spark, engine, monkeypatch):
+    engine.sql(f"CREATE TABLE k (t timestamp NOT NULL TIMESTAMP KEY, n string TAG, v int) {OFF}")
+    for v in (1, 2):
+        engine.sql(f"INSERT INTO k (t, n, v) VALUES (1, 'a', {v}), (2, 'b', {v})")
+    storage, before = engine.storage("k"), engine.storage("k").data
+    real = type(storage)._rewritten
+
+    def meanwhile(self, df):
+        engine.sql("INSERT INTO k (t, n, v) VALUES (3, 'c', 3)")
+        return real(self, df)
+
+    monkeypatch.setattr(type(storage), "_rewritten", meanwhile)
+    with pytest.raises(SchemaError, match="written to"):
+        storage.compact()
+    monkeypatch.undo()
+    assert storage.data == before and sorted(rows(engine.sql("SELECT v FROM k"))) == [(2,), (2,), (3,)]
+    storage.compact()
+    assert storage.data != before and not storage.folder.exists(before) and storage.files().count() == 3
+    assert sorted(rows(engine.sql("SELECT v FROM k"))) == [(2,), (2,), (3,)]
+
+
+def test_explain_analyze_runs(engine):
+    engine.sql(f"CREATE TABLE x (t timestamp NOT NULL TIMESTAMP KEY, v int) {OFF}")
+    engine.sql("INSERT INTO x (t, v) VALUES (1, 1), (2, 2)")
+    assert "output_rows=2" in engine.sql("EXPLAIN ANALYZE SELECT v FROM x").first().plan
