@@ -322,10 +322,14 @@ def aggregate(df: DataFrame, tags: list[str], e: Aggregate) -> tuple[DataFrame,
     return hashing.with_unique_id(got, labels, TSID).select(TSID, *[F.col(f"`{x}`") for x in labels], "ts", "value"), labels
 
 
+#: Time that one row of a remote read holds, so that no row grows with a series' history.
+CHUNK_MS = 86_400_000
+
+
 def remote_read(engine, metric: str, matchers: list[tuple[str, str, str]], start: int, end: int) -> DataFrame:
-    """One row for each series: its labels (null as empty) and its samples by time."""
+    """Rows by series and day, in order: labels (null as empty) and the samples by time."""
     s = Selector(metric, tuple(matchers))
     df, tags = Evaluator(engine).samples(s, start, end)
     labels = F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*[F.coalesce(F.col(f"`{t}`").cast("string"), F.lit("")) for t in tags])) if tags else F.create_map().cast("map<string,string>")
-    each = df.select(TSID, labels.alias("labels"), F.struct("ts", "value").alias("s"))
-    return each.groupBy(TSID).agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list("s")).alias("samples")).orderBy(TSID)
+    each = df.select(TSID, F.floor(F.col("ts") / CHUNK_MS).alias("__day"), labels.alias("labels"), F.struct("ts", "value").alias("s"))
+    return each.groupBy(TSID, "__day").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list("s")).alias("samples")).orderBy(TSID, "__day").drop("__day")

@@ -520,7 +520,7 @@ def line_protocol(spark, sf_dir):
 def remote_read(spark, sf_dir):
     engine = events_engine(spark, sf_dir)
     got = promql.remote_read(engine, "events", [("event_type", "!=", "view")], START, START + STEP)
-    return got.select(F.col("labels")["event_type"].alias("event_type"), F.size("samples").cast("long").alias("samples"))
+    return got.select(F.col("labels")["event_type"].alias("event_type"), F.inline("samples")).select("event_type", "ts", F.round("value", 6).alias("value"))
 
 
 def tumbling_window(spark, sf_dir):
@@ -639,7 +639,7 @@ FRAMES: dict[str, tuple[Callable, str | None]] = {
     "u10_explain": (described("EXPLAIN SELECT count(*) FROM events WHERE ts > 1704412800000"), None),
     "k1_insert_defaults": (inserted, "select * from (values ('a', 10::bigint, 'x', 11::bigint, 22::bigint, null::double), ('b', 20, 'x', 21, 42, null), ('a', 30, 'x', 5, 10, null)) v(host, c1, c2, c3, c4, extra)"),
     "k5_line_protocol": (line_protocol, "select event_type, count(*) as n, round(sum(value), 2) as total, max(epoch_us(ts) // 1000) as last from events group by 1"),
-    "p13_remote_read": (remote_read, f"select event_type, count(*) as samples from events where event_type <> 'view' and epoch_us(ts) // 1000 between {START} and {START + STEP} group by 1"),
+    "p13_remote_read": (remote_read, f"select event_type, epoch_us(ts) // 1000 as ts, round(value, 6) as value from events where event_type <> 'view' and epoch_us(ts) // 1000 between {START} and {START + STEP}"),
     "p12_unique_id": (unique_label_ids, f"select event_type, count(*) as n, tsid from events join {_LABEL_IDS} using (event_type) group by event_type, tsid"),
     "k10_segments": (stored_segments, "select epoch_us(ts) // 1000 // 7200000 as segment, count(*) as n from events group by 1"),
     "r5_tumbling_window": (tumbling_window, "select epoch_us(ts) // 1000 // 21600000 * 21600000 as start, event_type, count(*) as n from events group by 1, 2"),
