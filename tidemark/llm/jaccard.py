@@ -21,7 +21,7 @@ connected yet, nearest first.  Leaders with many members are cut into chunks tha
 leader; what the chunks leave in several components is then compared across chunks: the members
 outside the largest component with all others.
 
-Signatures move as 31 bits within a bucket; a chance agreement costs a comparison and nothing
+Signatures move as 30 bits within a bucket; a chance agreement costs a comparison and nothing
 else.  Groups that are large within one batch of a worker send their first owner to the bucket
 and the other members to any task, so that no task gathers the members of a frequent signature.
 
