@@ -378,3 +378,13 @@ def test_pipeline_by_hand(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_of_long_texts(spark):
+    """Fifty thousand lines, a line of a megabyte in three documents, and the same document twice."""
+    many = "\n".join(f"line {i % 20_000} of a long document" for i in range(50_000))
+    wide = "word " * 200_000
+    rows = [(3, many), (1, "line 7 of a long document\nshort"), (5, wide + "\nend of five"), (2, wide), (4, "x\n" + wide.upper()), (3, many)]
+    got = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((i, t) for i, _, _, t in dedup_by_hand(rows))
+    assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
