@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -388,3 +390,15 @@ def test_line_dedup_of_long_texts(spark):
     got = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted((i, t) for i, _, _, t in dedup_by_hand(rows))
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_line_dedup_writes_few_files(spark, lined):
+    """Hadoop's local file system starts shells for each file: one file of the postings that go, whatever the partitions, and nothing stays persisted."""
+    common.ensure_checkpoint_dir(spark)
+    folder = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    files = lambda: set(folder.rglob("part-*"))
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    held, before = kept(), files()
+    got = linededup.dedup_lines(spark.createDataFrame(lined, "doc_id long, text string").repartition(16))
+    assert len(files() - before) == 1 and kept() <= held
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(i), text) for i, _, _, text in dedup_by_hand(lined))

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from . import common
 
@@ -300,11 +301,19 @@ class LineIndex:
         return _drops(self.posted, self.counts.where("refs > 1"), self.filters, self.shards)
 
 
-def _drops(posted: DataFrame, refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    lost = probe(posted, filters, shards).join(refs.select(*KEY, "min_doc"), KEY).where("doc_id <> min_doc")
+def _lost(posted: DataFrame, refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The postings (h1, h2, doc_id) of lines that go."""
+    return probe(posted, filters, shards).join(refs.select(*KEY, "min_doc"), KEY).where("doc_id <> min_doc").select(*KEY, "doc_id")
+
+
+def _gathered(lost: DataFrame) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
 
 
+def _drops(posted: DataFrame, refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    return _gathered(_lost(posted, refs, filters, shards))
+
+
 def drops(posted: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, gone): the hashes of the keys whose lines a document loses, sixteen bytes each."""
     shards = shard_count(refs)
@@ -333,9 +342,16 @@ def _fresh(df: DataFrame, name: str) -> str:
 
 
 def lost_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    posted = common.materialize(postings(df, id_col, text_col))
-    refs = common.materialize(references(posted))
-    return drops(posted, refs)
+    """``drops`` of ``df``.  Only the postings that go are written to the checkpoint folder, in few files; the rest stays with the executors meanwhile."""
+    posted = postings(df, id_col, text_col).persist(StorageLevel.DISK_ONLY)
+    refs = references(posted).persist(StorageLevel.DISK_ONLY)
+    try:
+        shards = shard_count(refs)
+        lost, _ = common.narrow(_lost(posted, refs, build_shards(refs, shards), shards))
+    finally:
+        refs.unpersist()
+        posted.unpersist()
+    return _gathered(lost)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
