@@ -1,7 +1,9 @@
 import random
 
+import duckdb
 import pytest
 
+from tidemark import queries
 from tidemark.plans import influxql, opentsdb, promql
 from tidemark.sources import protocols
 from tidemark.schema import SchemaError
@@ -109,6 +111,21 @@ def test_opentsdb(water):
         ask(aggregator="none", filters=[{"type": "wildcard", "tagk": "location", "filter": "*"}])
 
 
+def test_opentsdb_points_at_one_time(spark, tmp_path):
+    rows = [("2024-01-05 00:00:00.001", "a", v) for v in (2.0, 1.0, 2.0)] + [("2024-01-05 00:00:00.001", "b", 4.0), ("2024-01-05 00:00:00.0019", "b", None), ("2024-01-05 00:00:02", "a", 3.0)]
+    df = spark.createDataFrame(rows, "ts string, event_type string, value double")
+    df.selectExpr("cast(ts as timestamp_ntz) as ts", "event_type", "value", "1L as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.queries()["opentsdb_response"](spark, str(tmp_path))
+    want = duckdb.connect()
+    want.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1], r[2] is not None, r[2])
+    rows = sorted(want.sql(queries.oracle_sql()["opentsdb_response"]).fetchall(), key=key)
+    assert len(rows) == 6 and sorted(map(tuple, got.select("event_type", "ts", "value").collect()), key=key) == rows
+    request = {"start": queries.START, "end": queries.START + 9999, "queries": [{"metric": "events", "aggregator": "none"}]}
+    at = [str(queries.START + 1), str(queries.START + 2000)]
+    assert [(r["tags"]["event_type"], r["dps"]) for r in opentsdb.respond(queries.events_engine(spark, str(tmp_path)), request)] == [("a", {at[0]: 2.0, at[1]: 3.0}), ("b", {at[0]: 4.0})]
+
+
 def test_prom_over_an_engine(water):
     e = promql.Evaluator(water)
     got = e.evaluate(promql.parse('max by (location) (h2o_feet{location!="x"})'), 1439827200000, 1439827800000, 300_000).collect()

@@ -53,16 +53,18 @@ def sub_query(engine, q: dict, start: int, end: int) -> tuple[DataFrame, list[st
 
 
 def series(df: DataFrame, metric: str, tags: list[str], aggregated: list[str] = ()) -> DataFrame:
-    """(metric, tags, aggregatedTags, dps): a row for each series, maps by key."""
+    """(metric, tags, aggregatedTags, dps): a row for each series.
+
+    ``dps`` are its points (ts, value) in order; append tables can have several points of a series at one time, so it is no map.
+    """
     tags = sorted(tags)
     named = F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*[F.coalesce(F.col(f"`{t}`").cast("string"), F.lit("")) for t in tags])) if tags else F.expr("cast(map() as map<string,string>)")
-    points = F.array_sort(F.collect_list(F.struct(F.col("ts"), F.col("value"))))
+    points = F.array_sort(F.collect_list(F.struct("ts", "value")))
     by = [F.col(f"`{t}`") for t in tags]
     got = df.groupBy(*by).agg(points.alias("points")).where("size(points) > 0")  # without tags, no rows are no series
     got = got.orderBy(*by) if by else got
-    dps = F.map_from_entries(F.transform("points", lambda p: F.struct(p["ts"].cast("string"), p["value"])))
     shared = F.array(*map(F.lit, aggregated)) if aggregated else F.array().cast("array<string>")
-    return got.select(F.lit(metric).alias("metric"), named.alias("tags"), shared.alias("aggregatedTags"), dps.alias("dps"))
+    return got.select(F.lit(metric).alias("metric"), named.alias("tags"), shared.alias("aggregatedTags"), F.col("points").alias("dps"))
 
 
 def query(engine, request: dict | str) -> list[DataFrame]:
@@ -76,5 +78,5 @@ def query(engine, request: dict | str) -> list[DataFrame]:
 
 
 def respond(engine, request: dict | str) -> list[dict]:
-    """The response: all series of all sub-queries."""
-    return [{"metric": r.metric, "tags": r.tags, "aggregatedTags": r.aggregatedTags, "dps": r.dps} for df in query(engine, request) for r in df.toLocalIterator()]
+    """The response: all series of all sub-queries; its ``dps`` are objects by time, so of points at one time the largest value stays."""
+    return [{"metric": r.metric, "tags": r.tags, "aggregatedTags": r.aggregatedTags, "dps": {str(p.ts): p.value for p in r.dps}} for df in query(engine, request) for r in df.toLocalIterator()]

@@ -297,7 +297,7 @@ def opentsdb_series(spark, sf_dir):
     """The points of a response, a row each."""
     engine = events_engine(spark, sf_dir)
     df = opentsdb.query(engine, {"start": START, "end": START + STEP, "queries": [{"metric": "events", "aggregator": "none", "tags": {}}]})[0]
-    return df.select(F.col("tags")["event_type"].alias("event_type"), F.explode("dps").alias("t", "v")).select("event_type", F.col("t").cast("long").alias("ts"), F.round("v", 6).alias("value"))
+    return df.select(F.col("tags")["event_type"].alias("event_type"), F.inline("dps")).select("event_type", "ts", F.round("value", 6).alias("value"))
 
 
 def hours_engine(spark: SparkSession, sf_dir: str) -> Engine:
